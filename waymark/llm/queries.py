@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import mixing, tokenize
+from waymark.llm import mixing, subjects, tokenize
 from waymark.plans.registry import Registry
 from waymark.runtime import table
 
@@ -27,3 +27,10 @@ def p9_mixture(spark, d):
 @LLM.add("p9_shares")
 def p9_shares(spark, d):
     return _mixture(spark, d).shares()
+
+
+@LLM.add("p10_found")
+def p10_found(spark, d):
+    docs = table(spark, d, "documents")
+    model = subjects.train(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+    return subjects.assign_subjects(docs, model)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import mixing, subjects, tokenize
+from waymark.llm import mixing, splitting, subjects, tokenize
 from waymark.plans.registry import Registry
 from waymark.runtime import table
 
@@ -34,3 +34,20 @@ def p10_found(spark, d):
     docs = table(spark, d, "documents")
     model = subjects.train(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects"))
     return subjects.assign_subjects(docs, model)
+
+
+def _pieces(spark, d):
+    return splitting.split_chunks(table(spark, d, "chunks"), table(spark, d, "documents"))
+
+
+@LLM.add("p3_found", """
+SELECT DISTINCT c.chunk_id FROM chunks c JOIN documents d ON c.doc_id = d.doc_id
+WHERE d.text IS NOT NULL
+  AND least(coalesce(c.byte_end, 9000000000000000000), strlen(d.text)) - greatest(c.byte_start, 0) > 1500""")
+def p3_found(spark, d):
+    return _pieces(spark, d).where("piece = 0 AND n_pieces > 1").select("chunk_id").distinct()
+
+
+@LLM.add("p3_pieces")
+def p3_pieces(spark, d):
+    return _pieces(spark, d)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import mixing, splitting, subjects, tokenize
+from waymark.llm import conversations, mixing, splitting, subjects, tokenize
 from waymark.plans.registry import Registry
 from waymark.runtime import table
 
@@ -51,3 +51,31 @@ def p3_found(spark, d):
 @LLM.add("p3_pieces")
 def p3_pieces(spark, d):
     return _pieces(spark, d)
+
+
+@LLM.add("p2_found", r"""
+WITH c AS (
+  SELECT * FROM (
+    SELECT channel_id, CAST(try_cast(trim(ts) AS DECIMAL(20,6)) * 1000000 AS BIGINT) AS us,
+      CAST(try_cast(trim(thread_ts) AS DECIMAL(20,6)) * 1000000 AS BIGINT) AS root,
+      coalesce(nullif(trim(user_id), ''), nullif(trim(username), '')) AS speaker, text, reply_count,
+      coalesce(subtype IN ('tombstone', 'message_deleted'), false) AS gone,
+      row_number() OVER (PARTITION BY channel_id, try_cast(trim(ts) AS DECIMAL(20,6)) ORDER BY received_at DESC, msg_id DESC) AS rn
+    FROM slack_messages) WHERE rn = 1 AND us IS NOT NULL AND channel_id IS NOT NULL),
+threads AS (SELECT DISTINCT channel_id, root FROM c WHERE root IS NOT NULL),
+members AS (
+  SELECT t.channel_id, t.root, c.us, c.speaker, c.reply_count, regexp_full_match(coalesce(c.text, ''), '[\s\p{Z}\p{C}ᅟᅠㅤﾠ⠀͏︀-️]*') AS blank
+  FROM threads t JOIN c ON c.channel_id = t.channel_id AND NOT c.gone AND (c.us = t.root OR c.root = t.root))
+SELECT t.channel_id, CAST(t.root // 1000000 AS VARCHAR) || '.' || lpad(CAST(t.root % 1000000 AS VARCHAR), 6, '0') AS thread_ts
+FROM threads t LEFT JOIN members m ON m.channel_id = t.channel_id AND m.root = t.root
+GROUP BY t.channel_id, t.root
+HAVING count(*) FILTER (WHERE m.us = t.root) = 0
+  OR count(*) FILTER (WHERE m.us <> t.root) < coalesce(max(m.reply_count) FILTER (WHERE m.us = t.root), 0)
+  OR coalesce(bool_and(m.blank), true) OR count(DISTINCT m.speaker) < 2""")
+def p2_found(spark, d):
+    return conversations.broken_threads(table(spark, d, "slack_messages")).select("channel_id", "thread_ts")
+
+
+@LLM.add("p2_conversations")
+def p2_conversations(spark, d):
+    return conversations.conversations(table(spark, d, "slack_messages"), table(spark, d, "chat_members"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.llm import conversations, mixing, splitting, subjects, tokenize
+from waymark.llm import conversations, markup, mixing, splitting, subjects, tokenize
 from waymark.plans.registry import Registry
 from waymark.runtime import table
 
@@ -79,3 +79,18 @@ def p2_found(spark, d):
 @LLM.add("p2_conversations")
 def p2_conversations(spark, d):
     return conversations.conversations(table(spark, d, "slack_messages"), table(spark, d, "chat_members"))
+
+
+def _cleaned(spark, d):
+    return markup.clean_records(table(spark, d, "slack_messages"), table(spark, d, "remote_items"))
+
+
+@LLM.add("p4_found")
+def p4_found(spark, d):
+    return _cleaned(spark, d).where("marked").select("record_table", "record_id").distinct()
+
+
+@LLM.add("p4_clean")
+def p4_clean(spark, d):
+    """Every text with its markup resolved."""
+    return _cleaned(spark, d)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from waymark.llm import conversations, markup, mixing, splitting, subjects, tokenize
+from pyspark.sql import functions as F
+
+from waymark.llm import conversations, markup, mixing, pii, splitting, subjects, tokenize
 from waymark.plans.registry import Registry
 from waymark.runtime import table
 
@@ -94,3 +96,18 @@ def p4_found(spark, d):
 def p4_clean(spark, d):
     """Every text with its markup resolved."""
     return _cleaned(spark, d)
+
+
+def _masked(spark, d):
+    return pii.find_and_mask(table(spark, d, "slack_messages"), ["msg_id"])
+
+
+@LLM.add("p6_found")
+def p6_found(spark, d):
+    return _masked(spark, d).select("msg_id", F.explode("pii_types").alias("pii_type")).distinct()
+
+
+@LLM.add("p6_masked")
+def p6_masked(spark, d):
+    """Every message with its personal information replaced by placeholders."""
+    return _masked(spark, d).select("msg_id", "masked")

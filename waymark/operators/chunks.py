@@ -58,6 +58,6 @@ def next_ids(rows: DataFrame, existing: DataFrame, id_column: str, order: list[s
 
 def replace_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
     """Chunks of the documents in ``new`` replaced; the new ones get fresh ids, a contiguous run per document in byte order."""
-    kept = chunks.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+    kept = chunks.join(new.select("doc_id").distinct(), "doc_id", "left_anti").select(*chunks.columns)
     fresh = next_ids(new.drop("chunk_id"), chunks, "chunk_id", ["doc_id", "byte_start"])
     return kept.unionByName(fresh.select(*kept.columns))

@@ -64,9 +64,13 @@ def convention_tags(path: Column) -> Column:
 
 
 def topic_tags(content: Column) -> Column:
-    low = F.lower(content)
-    hits = {t: reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in words.split())) for t, words in TOPICS.items()}
-    return _tags(*((n >= 2, f"topic:{t}") for t, n in hits.items()))
+    """Tags of the topics of which two keywords occur. The text is lowered once, as the only item of an array."""
+
+    def tags(low: Column) -> Column:
+        hits = {t: reduce(lambda a, b: a + b, (F.contains(low, F.lit(w)).cast("int") for w in words.split())) for t, words in TOPICS.items()}
+        return _tags(*((n >= 2, f"topic:{t}") for t, n in hits.items()))
+
+    return F.coalesce(F.get(F.transform(F.array(F.lower(content)), tags), F.lit(0)), F.array().cast("array<string>"))
 
 
 def language_of(path: Column) -> Column:
@@ -168,20 +172,31 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$" if not depth else ".*"
 
 
-def document_keys(documents: DataFrame, chunk_stats: DataFrame | None = None) -> DataFrame:
+def document_keys(documents: DataFrame, chunk_stats: DataFrame | None = None, namespaces: Sequence[str] | None = None) -> DataFrame:
     """doc_id, bitmap_key of a document table: source:, type:, lang:, folder:, size:, topic:, convention: and complexity:.
 
     Each key once per document. Null texts count as empty, null languages and types give
-    no key. ``chunk_stats`` (doc_id, n_chunks, max_depth) may not hold a document twice.
+    no key. With ``namespaces`` only keys of those are derived, so a filter on a language
+    never reads the texts. ``chunk_stats`` (doc_id, n_chunks, max_depth) may not hold a
+    document twice.
     """
     text = F.coalesce("text", F.lit(""))
     d = documents
     if chunk_stats is not None:
         d = d.join(chunk_stats.select(F.col("doc_id").alias("_cid"), "n_chunks", "max_depth"), F.col("doc_id") == F.col("_cid"), "left")
-    keyed = lambda ns, c: F.concat(F.lit(ns + ":"), c)
-    single = F.array_compact(F.array(
-        keyed("source", F.col("source_type")), keyed("type", F.col("auto_type")), keyed("lang", F.lower("lang")), keyed("folder", parent_folder(F.col("file_path"))), size_tag(text),
-        *([complexity_tag(F.col("n_chunks"), F.col("max_depth"))] if chunk_stats is not None else []),
-    ))
-    every = F.array_distinct(F.concat(single, topic_tags(text), convention_tags(F.col("file_path"))))
-    return d.select("doc_id", F.explode(every).alias("bitmap_key")).where("bitmap_key IS NOT NULL")
+    keyed = lambda ns, c: F.array(F.concat(F.lit(ns + ":"), c))
+    makers = {
+        "source": lambda: keyed("source", F.col("source_type")), "type": lambda: keyed("type", F.col("auto_type")), "lang": lambda: keyed("lang", F.lower("lang")), "folder": lambda: keyed("folder", parent_folder(F.col("file_path"))),
+        "size": lambda: F.array(size_tag(text)), "topic": lambda: topic_tags(text), "convention": lambda: convention_tags(F.col("file_path")),
+    }
+    if chunk_stats is not None:
+        makers["complexity"] = lambda: F.array(complexity_tag(F.col("n_chunks"), F.col("max_depth")))
+    found = [make() for name, make in makers.items() if namespaces is None or name in namespaces]
+    if not found:
+        return d.select("doc_id", F.lit("").alias("bitmap_key")).where(F.lit(False))
+    # an outer explode, as before an inner one the optimizer computes the array once more to filter by its size
+    return d.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*found))).alias("bitmap_key")).where("bitmap_key IS NOT NULL")
+
+
+def namespaces_of(names: Sequence[str]) -> set[str]:
+    return {n.split(":", 1)[0] for n in names}

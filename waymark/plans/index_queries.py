@@ -11,7 +11,7 @@ from waymark.operators.changefeed import whole_seconds
 from waymark.operators.incremental import current_fetches
 from waymark.plans.filter_dsl import And, Key, Not, from_list, leaf_keys, parse_filter
 from waymark.plans.registry import Registry
-from waymark.runtime import table
+from waymark.runtime import spread, table
 
 INDEX = Registry()
 
@@ -34,8 +34,13 @@ keys AS (
   WHERE k IS NOT NULL)"""
 
 
-def _keys(spark, d):
-    return keys.document_keys(table(spark, d, "documents"))
+def _documents(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "file_path", "source_type", "auto_type", "lang", "text"), "doc_id")
+
+
+def _keys(spark, d, *names):
+    """The key table, or its part that the given keys are in."""
+    return keys.document_keys(_documents(spark, d), namespaces=keys.namespaces_of(names) if names else None)
 
 
 def _universe(spark, d):
@@ -49,9 +54,11 @@ def _has(*names):
 def _filter_query(name, expression, condition):
     """A filter over the whole key table; ``condition`` is its SQL over documents d."""
 
+    parsed = parse_filter(expression) if isinstance(expression, str) else expression
+
     @INDEX.add(name, f"WITH {KEYS_SQL} SELECT DISTINCT d.doc_id FROM documents d WHERE {condition}")
     def run(spark, d):
-        return filters.match(_keys(spark, d), expression, _universe(spark, d))
+        return filters.match(_keys(spark, d, *leaf_keys(parsed)), parsed, _universe(spark, d))
 
 
 _filter_query("filter_key", "lang:en", f"d.doc_id IN ({_has('lang:en')})")
@@ -68,25 +75,25 @@ _filter_query("filter_empty_and", And(()), "false")
 
 @INDEX.add("filter_match_all", f"WITH {KEYS_SQL} SELECT DISTINCT doc_id FROM keys WHERE starts_with(bitmap_key, 'source:')")
 def filter_match_all(spark, d):
-    return filters.match_all(_keys(spark, d))
+    return filters.match_all(_keys(spark, d, "source:"))
 
 
 @INDEX.add("filter_tombstoned", f"WITH {KEYS_SQL} SELECT DISTINCT doc_id FROM keys WHERE bitmap_key = 'source:confluence' AND doc_id NOT IN (SELECT doc_id FROM tombstones WHERE doc_id IS NOT NULL)")
 def filter_tombstoned(spark, d):
-    return filters.match(_keys(spark, d), "source:confluence", _universe(spark, d), table(spark, d, "tombstones"))
+    return filters.match(_keys(spark, d, "source:"), "source:confluence", _universe(spark, d), table(spark, d, "tombstones"))
 
 
 @INDEX.add("filter_page", f"""
 WITH {KEYS_SQL}, m AS ({_has('source:obsidian')} EXCEPT {_has('lang:de')})
 SELECT doc_id, (SELECT count(*) FROM m) AS total_matching FROM m ORDER BY doc_id LIMIT 20 OFFSET 40""")
 def filter_page(spark, d):
-    return filters.page(filters.match(_keys(spark, d), "source:obsidian AND NOT lang:de", _universe(spark, d)), 20, 40)
+    return filters.page(filters.match(_keys(spark, d, "source:", "lang:"), "source:obsidian AND NOT lang:de", _universe(spark, d)), 20, 40)
 
 
 @INDEX.add("matched_filters", f"WITH {KEYS_SQL} SELECT DISTINCT doc_id, ['source:jira', 'lang:fr'] AS matched_filters FROM keys WHERE bitmap_key = 'source:jira' AND doc_id NOT IN ({_has('lang:fr')})")
 def matched_filters(spark, d):
     f = And((Key("source:jira"), Not(Key("lang:fr"))))
-    return filters.match(_keys(spark, d), f, _universe(spark, d)).select("doc_id", F.array(*(F.lit(k) for k in leaf_keys(f))).alias("matched_filters"))
+    return filters.match(_keys(spark, d, *leaf_keys(f)), f, _universe(spark, d)).select("doc_id", F.array(*(F.lit(k) for k in leaf_keys(f))).alias("matched_filters"))
 
 
 @INDEX.add("filter_catalog", f"WITH {KEYS_SQL} SELECT bitmap_key, split_part(bitmap_key, ':', 1) AS category, count(DISTINCT doc_id) AS cardinality FROM keys GROUP BY ALL")
@@ -96,7 +103,7 @@ def filter_catalog(spark, d):
 
 @INDEX.add("filter_catalog_prefix", f"WITH {KEYS_SQL} SELECT bitmap_key, split_part(bitmap_key, ':', 1) AS category, count(DISTINCT doc_id) AS cardinality FROM keys WHERE starts_with(bitmap_key, 'topic:') GROUP BY ALL")
 def filter_catalog_prefix(spark, d):
-    return filters.catalog(_keys(spark, d), "topic:")
+    return filters.catalog(_keys(spark, d, "topic:"), "topic:")
 
 
 @INDEX.add("index_status", f"""
@@ -112,7 +119,7 @@ WITH {KEYS_SQL}, a AS ({_has('topic:testing')}), b AS ({_has('source:code')})
 SELECT n_both, n_either, CASE WHEN n_either = 0 THEN 0.0 ELSE n_both / n_either END AS jaccard FROM (
   SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS n_both, (SELECT count(*) FROM (FROM a UNION FROM b)) AS n_either)""")
 def jaccard_pair(spark, d):
-    return filters.jaccard(_keys(spark, d), "topic:testing", "source:code")
+    return filters.jaccard(_keys(spark, d, "topic:", "source:"), "topic:testing", "source:code")
 
 
 @INDEX.add("jaccard_with_key", f"""
@@ -126,19 +133,19 @@ def jaccard_with_key(spark, d):
 
 @INDEX.add("key_union", f"WITH {KEYS_SQL} {_has('type:task')} UNION {_has('topic:api')}")
 def key_union(spark, d):
-    k = _keys(spark, d)
+    k = _keys(spark, d, "type:", "topic:")
     return filters.match(k, "type:task").union(filters.match(k, "topic:api")).distinct()
 
 
 @INDEX.add("key_intersect", f"WITH {KEYS_SQL} {_has('lang:en')} INTERSECT {_has('topic:database')}")
 def key_intersect(spark, d):
-    k = _keys(spark, d)
+    k = _keys(spark, d, "lang:", "topic:")
     return filters.match(k, "lang:en").intersect(filters.match(k, "topic:database"))
 
 
 @INDEX.add("key_except", f"WITH {KEYS_SQL} {_has('lang:en')} EXCEPT {_has('source:code')}")
 def key_except(spark, d):
-    k = _keys(spark, d)
+    k = _keys(spark, d, "lang:", "source:")
     return filters.match(k, "lang:en").subtract(filters.match(k, "source:code"))
 
 
@@ -149,12 +156,12 @@ def size_tagger(spark, d):
 
 @INDEX.add("topic_tagger", f"SELECT doc_id, tag FROM (SELECT doc_id, unnest([{_TOPIC_SQL}]) AS tag FROM (SELECT doc_id, lower(text) AS t FROM documents)) WHERE tag IS NOT NULL")
 def topic_tagger(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(keys.topic_tags(F.col("text"))).alias("tag"))
+    return _documents(spark, d).select("doc_id", F.explode_outer(keys.topic_tags(F.col("text"))).alias("tag")).where("tag IS NOT NULL")
 
 
 @INDEX.add("convention_tagger", f"SELECT doc_id, tag FROM (SELECT doc_id, unnest([{_CONVENTION_SQL}]) AS tag FROM documents) WHERE tag IS NOT NULL")
 def convention_tagger(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(keys.convention_tags(F.col("file_path"))).alias("tag"))
+    return table(spark, d, "documents").select("doc_id", F.explode_outer(keys.convention_tags(F.col("file_path"))).alias("tag")).where("tag IS NOT NULL")
 
 
 @INDEX.add("complexity_tagger", """
@@ -271,7 +278,7 @@ SELECT d.doc_id, d.file_path, d.source_type, d.auto_type, d.last_indexed AS last
   coalesce((SELECT list(c.chunk_id ORDER BY c.byte_start, c.chunk_id) FROM (SELECT DISTINCT doc_id, chunk_id, byte_start FROM chunks) c WHERE c.doc_id = d.doc_id), []) AS chunk_ids
 FROM documents d WHERE d.doc_id IN (FROM m)""")
 def hydrate_pointers(spark, d):
-    ids = filters.page(filters.match(_keys(spark, d), "type:moc"))
+    ids = filters.page(filters.match(_keys(spark, d, "type:"), "type:moc"))
     rows = filters.hydrate(ids, table(spark, d, "documents"), table(spark, d, "chunks"), ["type:moc"])
     return rows.select("doc_id", "file_path", "source_type", "auto_type", "last_modified", F.transform("chunks", lambda c: c.chunk_id).alias("chunk_ids"))
 
@@ -528,12 +535,12 @@ def semantic_three_stage(spark, d):
     from waymark.engine import Engine
 
     v = _vectors(spark, d)
-    e = Engine(spark, documents=table(spark, d, "documents"), chunks=table(spark, d, "chunks"), doc_keys=_keys(spark, d), edges=_edges(spark, d), tombstones=table(spark, d, "tombstones"), vectors=v)
+    e = Engine(spark, documents=table(spark, d, "documents"), chunks=table(spark, d, "chunks"), doc_keys=_keys(spark, d, "source:"), edges=_edges(spark, d), tombstones=table(spark, d, "tombstones"), vectors=v)
     return e.semantic("", parse_filter("source:obsidian"), 10, hops=1, query_vector=_first_vector(v)).select("doc_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def _files(spark, d, kind, parser):
-    docs = table(spark, d, "documents").where((F.col("source_type") == kind) & F.col("text").isNotNull())
+    docs = _documents(spark, d).where((F.col("source_type") == kind) & F.col("text").isNotNull())
     return docs.select("doc_id", "file_path", F.col("text").cast("binary").alias("content"), F.lit(parser).alias("parser"))
 
 

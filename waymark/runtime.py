@@ -27,6 +27,23 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores if it is read from so few bytes that its scan would leave some idle.
+
+    Larger tables come back as they are: their scan has splits enough, and no shuffle is
+    worth it. ``df`` must be a plain scan.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    split = int(spark.sparkContext._jsc.sc().conf().getSizeAsBytes("spark.sql.files.maxPartitionBytes", "128m"))
+    return df.repartition(cores, key) if size < cores * split // 4 else df
+
+
 class Files:
     """The few file-system calls that commits need, on whatever file system ``root`` names."""
 

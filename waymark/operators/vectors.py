@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from waymark.operators.incremental import newest_per_key
 
-#: Queries in a block, sample rows and cells of the approximate index, cells searched.
-BLOCK, SAMPLE, CELLS, PROBES = 2_048, 20_000, 64, 16
+#: Queries in a block, sample rows and cells of the approximate index, the recall its probes are chosen for.
+BLOCK, SAMPLE, CELLS, RECALL = 2_048, 20_000, 64, 0.97
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -109,6 +109,8 @@ class CellIndex:
     """An inverted-file index: vectors by their nearest centre; a query looks into its nearest cells.
 
     The centres are fitted by k-means on at most SAMPLE rows; every vector is assigned.
+    How many cells a query looks into is measured on the sample: as few as reach RECALL
+    against the exact neighbours there.
     """
 
     def __init__(self, vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE, seed: int = 0, rounds: int = 12):
@@ -122,6 +124,7 @@ class CellIndex:
             np.add.at(sums, own, m)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             self.centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), self.centres)
+        self.probes = self._probes(m)
         centres = self.centres
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,9 +133,19 @@ class CellIndex:
 
         self.rows = vectors.where("embedding IS NOT NULL").select("id", "embedding").mapInPandas(assign, "id long, embedding array<float>, cell int")
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = PROBES, skip_self: bool = True) -> DataFrame:
+    def _probes(self, m: np.ndarray, k: int = 10, queries: int = 256) -> int:
+        """The least number of cells that hold RECALL of the sample rows' k nearest rows."""
+        own, q = (m @ self.centres.T).argmax(1), m[:queries]
+        scores = q @ m.T
+        np.fill_diagonal(scores, -2)
+        near = np.argsort(-scores, 1)[:, :k]
+        place = np.argsort(np.argsort(-(q @ self.centres.T), 1), 1)
+        ranks = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+        return int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))]) + 1 if len(ranks) else 1
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, skip_self: bool = True) -> DataFrame:
         """query_id, id, score, rank; only vectors in the query's ``probes`` nearest cells are scored."""
-        out = None
+        out, probes = None, probes or self.probes
         for qids, q in _blocks(queries, BLOCK):
             near = np.argsort(-(q @ self.centres.T), 1)[:, :probes]
             score, wanted = _score_block, np.unique(near)

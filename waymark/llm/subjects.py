@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 200_000
 #: Words and word pairs rarer than this in the sample get no weight.
 LEAST_DOCS = 2
-ROUNDS, OTHER, NOTHING, SMOOTH = 10, 0.02, 0.25, 1.0
+ROUNDS, OTHER, NOTHING, SMOOTH = 6, 0.02, 0.25, 1.0
 #: Least and greatest weight of a term, and what a sentence without any term weighs for no subject.
 LEAST, MOST, EVEN = 0.8, 4.0, 1.0
 BEAM = 6
@@ -74,9 +74,9 @@ def to_batch(texts: Sequence[str | None], ids: dict[str, int]) -> Batch:
     stop = a == -2
     number = np.cumsum(stop) - stop
     keep = ~stop
-    used, sentence = np.unique(number[keep], return_inverse=True)
-    first = np.searchsorted(number, used)
-    return Batch(a[keep], sentence, doc[first] if len(first) else np.empty(0, np.int64), len(texts))
+    number, word, doc = number[keep], a[keep], doc[keep]
+    new = np.append(True, number[1:] != number[:-1]) if len(number) else np.empty(0, bool)
+    return Batch(word, np.cumsum(new) - 1, doc[new], len(texts))
 
 
 @dataclass
@@ -89,19 +89,24 @@ class Terms:
     def __len__(self) -> int:
         return len(self.ids) + len(self.pairs)
 
-    def found(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
-        """(sentence, term) for every distinct term of every sentence."""
+    def found(self, b: Batch, useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, term) for every distinct term of every sentence, of ``useful`` ones (a flag per term) only if given."""
         n = len(self.ids)
         known = b.word >= 0
+        if useful is not None:
+            known &= useful[b.word]
         s, t = [b.sentence[known]], [b.word[known].astype(np.int64)]
         if len(self.pairs) and len(b.word) > 1:
             both = (b.word[:-1] >= 0) & (b.word[1:] >= 0) & (b.sentence[:-1] == b.sentence[1:])
             code = b.word[:-1][both].astype(np.int64) * n + b.word[1:][both]
             at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
             hit = self.pairs[at] == code
+            if useful is not None:
+                hit &= useful[n + at]
             s.append(b.sentence[:-1][both][hit])
             t.append(n + at[hit])
-        key = np.unique(np.concatenate(s).astype(np.int64) * len(self) + np.concatenate(t)) if len(self) else np.empty(0, np.int64)
+        key = np.sort(np.concatenate(s).astype(np.int64) * len(self) + np.concatenate(t), kind="stable") if len(self) else np.empty(0, np.int64)
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
         return key // max(1, len(self)), key % max(1, len(self))
 
 
@@ -218,13 +223,12 @@ class Model:
     def sentence_subjects(self, b: Batch, weights: np.ndarray | None = None) -> np.ndarray:
         """Sentences x (subjects, nothing): the probability of each."""
         w = self.weights if weights is None else weights
-        s, t = self.terms.found(b)
-        useful = np.flatnonzero(np.any(w[t] != 0, axis=1)) if len(t) else np.empty(0, np.int64)
-        s, t = s[useful], t[useful]
+        s, t = self.terms.found(b, w.any(1))
         score = np.zeros((len(b.doc_of_sentence), len(self.subjects) + 1))
         score[:, -1] = EVEN
         if len(s):
-            used, at = np.unique(s, return_index=True)
+            at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+            used = s[at]
             score[used, :-1] += np.add.reduceat(w[t], at, axis=0)
         score -= score.max(1, keepdims=True)
         p = np.exp(score)
@@ -236,7 +240,8 @@ class Model:
         n_sub = len(self.subjects)
         sure = np.zeros((b.n_docs, n_sub))
         best = np.zeros((b.n_docs, n_sub, 3))  # the three likeliest sentences for each subject
-        used, first = np.unique(b.doc_of_sentence, return_index=True)
+        first = np.flatnonzero(np.append(True, b.doc_of_sentence[1:] != b.doc_of_sentence[:-1])) if len(p) else np.empty(0, np.int64)
+        used = b.doc_of_sentence[first]
         for c in range(n_sub):
             sure[:, c] = np.bincount(b.doc_of_sentence, weights=p[:, c] > 0.5, minlength=b.n_docs)
             falling = p[np.lexsort((-p[:, c], b.doc_of_sentence)), c]

@@ -74,7 +74,7 @@ IDS = re.compile(
     re.I,
 )
 _ROAD = r"(?:street|st\.?|road|rd\.?|lane|ln\.?|avenue|ave\.?|drive|dr\.|way|close|court|square|crescent|terrace|boulevard|blvd\.?)"
-_TOWN = rf"{_W}[\w'’-]+(?:\s[A-Z][\w'’-]+|\sbay)?"
+_TOWN = rf"{_W}[\w'’-]+(?: (?-i:[A-ZÀ-ÖØ-Þ])[\w'’-]+| bay\b)?"
 ADDRESSES = re.compile(
     rf"(?<!\w)(?:(?:(?:flat|apt\.?|apartment|unit)\s\d+\w?,\s)?\d{{1,4}}[a-z]?\s(?:{_W}[\w'’-]*\s){{1,3}}{_ROAD},\s(?:\d{{4,5}}\s)?{_TOWN}(?:\s\d{{4,5}})?"
     rf"|(?:{_W}[\w'’-]*\s)?{_W}[\w'’-]*(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee)\s\d{{1,4}}[a-z]?,\s(?:\d{{4,5}}\s)?{_TOWN}"
@@ -93,6 +93,11 @@ NAMES = re.compile(
 )
 
 
+_WORDS = re.compile(rf"{_W}+(?:-{_W}+)?")
+#: Words in small letters that a name may begin with.
+_STARTS = GIVEN | TITLES | PARTICLES | {"al"}
+
+
 def _cased(word: str) -> bool:
     return word[:1].isupper()
 
@@ -147,14 +152,14 @@ def spans(text: str) -> list[tuple[int, int, int, float]]:
     for m in ADDRESSES.finditer(text):
         out.append((m.start(), m.end(), ADDRESS, 6.0))
     at = 0
-    while m := NAMES.search(text, at):
-        score = _name_score(m, text)
+    for w in _WORDS.finditer(text):
+        if w.start() < at or not (w[0][0].isupper() or w[0].partition("-")[0].lower() in _STARTS or w[0].lower() in _STARTS):
+            continue
+        m = NAMES.match(text, w.start())
+        score = _name_score(m, text) if m else 0.0
         if score > 0:
             out.append((m.start(), m.end(), NAME, score))
             at = m.end()
-        else:  # the next word may begin a name
-            step = re.compile(r"[^\W_]+").match(text, m.start())
-            at = step.end() if step else m.start() + 1
     return out
 
 

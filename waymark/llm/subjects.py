@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the classifiers are fitted on, at most, and the longest text among them in bytes.
-MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 200_000
+MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 20_000
 #: Words and word pairs rarer than this in the sample get no weight.
 LEAST_DOCS = 2
 ROUNDS, OTHER, NOTHING, SMOOTH = 6, 0.02, 0.25, 1.0

@@ -92,3 +92,44 @@ def test_remote(spark):
     assert sorted(r.id for r in remote.poll(spark, recorded, "jira", "issues", ["K"]).collect()) == ["K-1", "K-2"]
     c = {r.id: r for r in remote.poll(spark, recorded, "slack", "chat", ["C1"]).collect()}
     assert set(c) == {"C1-1970-01-01", "C1-1970-01-02"} and c["C1-1970-01-02"].updated_at == 90001 and c["C1-1970-01-01"].title == "#ops — 1970-01-01"
+
+
+def test_registry(spark):
+    from waymark.operators import registry as r
+
+    docs = spark.createDataFrame([(4, "/a", "x"), (7, "/b", "y")], "doc_id long, file_path string, auto_type string")
+    more = r.insert_documents(docs, spark.createDataFrame([("/d", "q"), ("/c", None)], "file_path string, auto_type string"))
+    assert sorted(map(tuple, more.collect())) == [(4, "/a", "x"), (7, "/b", "y"), (8, "/c", None), (9, "/d", "q")]
+    for bad in ([("/a", "")], [("/z", ""), ("/z", "")]):
+        with pytest.raises(r.DuplicatePath):
+            r.insert_documents(docs, spark.createDataFrame(bad, "file_path string, auto_type string"))
+    assert sorted(map(tuple, r.update_documents(docs, spark.createDataFrame([(4, None), (7, "n")], "doc_id long, auto_type string")).collect())) == [(4, "/a", "x"), (7, "/b", "n")]
+    with pytest.raises(r.NotFound):
+        r.update_documents(docs, spark.createDataFrame([(5, "n")], "doc_id long, auto_type string"))
+    assert r.move_documents(docs, spark.createDataFrame([(4, "/q")], "doc_id long, file_path string")).where("doc_id = 4").first().file_path == "/q"
+    with pytest.raises(r.DuplicatePath):
+        r.move_documents(docs, spark.createDataFrame([(4, "/b")], "doc_id long, file_path string"))
+    assert r.delete_documents(spark.createDataFrame([(4,), (4,)], "doc_id long"), documents=docs)["documents"].count() == 1
+    keys = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "doc_id long, bitmap_key string")
+    ids = spark.createDataFrame([(1,), (3,), (3,)], "doc_id long")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(r.set_keys(keys, spark.createDataFrame([(1, "c"), (1, "c")], "doc_id long, bitmap_key string"))) == [(1, "c"), (2, "a")]
+    assert rows(r.put_key(keys, "a", ids)) == [(1, "a"), (1, "b"), (3, "a")] and rows(r.put_key(keys, "a", ids.limit(0))) == [(1, "b")]
+    assert rows(r.add_to_key(keys, "a", ids)) == [(1, "a"), (1, "b"), (2, "a"), (3, "a")] and rows(r.remove_from_key(keys, "a", ids)) == [(1, "b"), (2, "a")]
+    pend = spark.createDataFrame([(1, "t", "k", "c", None, 5)], "from_id long, target_ref string, kind string, category string, byte_offset long, created_at long")
+    assert sorted((x.target_ref, x.created_at) for x in r.insert_pending(pend, spark.createDataFrame([(1, "t", "k", "c", None, 9), (1, "u", "k", "c", None, 9), (1, "u", "k", "c", None, 7)], pend.schema)).collect()) == [("t", 5), ("u", 7)]
+    cache = spark.createDataFrame([("/a", b"1", "h", ["t"])], "file_path string, content_hash binary, config_hash string, tags array<string>")
+    hit, miss = r.cached_tags(spark.createDataFrame([(1, "/a", b"1"), (2, "/b", b"1")], "doc_id long, file_path string, content_hash binary"), cache, F.lit("h"))
+    assert [x.doc_id for x in hit.collect()] == [1] and [x.doc_id for x in miss.collect()] == [2]
+
+
+def test_rank_within(spark):
+    from waymark.operators.registry import rank_within
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string"))).alias("k"), (F.col("id") * 7919 % 3001).alias("o"), F.lit(None).cast("string").alias("x"))
+    got = rank_within(df, ["k"], ["o"], "place")
+    from pyspark.sql import Window
+
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("o")))
+    assert sorted(map(tuple, got.select("k", "o", "place").collect())) == sorted(map(tuple, want.select("k", "o", "place").collect()))
+    assert rank_within(df.withColumn("k", F.lit(None).cast("string")), ["k"], ["o"], "place").agg(F.max("place")).first()[0] == 3000 and rank_within(df.limit(0), ["k"], ["o"], "place").isEmpty()

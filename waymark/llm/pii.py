@@ -49,7 +49,7 @@ COMMON = frozenset((
 #: Words after which, or before which, a person is likely spoken of.
 SIGNED = frozenset("cc regards name contact grüße dear signed customer client patient attn saludos".split())
 BEFORE = SIGNED | frozenset("ask with from by von hi hello thanks spoke met bonjour".split())
-AFTER = re.compile(r"\s*(?:will sign|is out|about it|went well|is on|said|asked|wrote|called|joined|left)\b")
+AFTER = re.compile(r"\s*(?:will|would|is|was|has|had|can|could|should|about|went|said|says|asked|wrote|called|joined|left)\b")
 
 _W = r"[^\W\d_]"
 _TOKEN = re.compile(r"\d+|[^\W\d_]+(?:['’][^\W\d_]+)*|[^\w\s]|_")

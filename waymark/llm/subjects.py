@@ -35,7 +35,7 @@ KINDS = ("code", "confluence", "jira", "obsidian", "slack")
 _WORD = re.compile(r"[㐀-鿿豈-﫿々]+|[゠-ヿ]+|[^\W\d_ぁ-ゟ㐀-鿿豈-﫿々゠-ヿ]+|[.!?](?=\s|$)|[。！？\n]|<[^<>\n]*>")
 _ENDS = frozenset(".!?。！？\n")
 #: Lines that only program code has.
-_CODE = re.compile(r"^\s*(?:(?:pub |export |async |static )*(?:def|fn|function|class|impl|struct|import|from|use|const|let|var|return)\b.*[({;:]|.*[{;]|\})\s*$|^\s*(?:from \S+ import |import \S+)", re.M)
+_CODE = re.compile(r"^[ \t]*(?:(?:pub |export |async |static )*(?:def|fn|function|class|impl|struct|import|from|use|const|let|var|return)\b.*[({;:]|.*[{;]|\})[ \t]*$|^[ \t]*(?:from \S+ import |import \S+)", re.M)
 
 
 def words_of(text: str) -> list[str]:

@@ -55,9 +55,9 @@ def orphan_split(refs: DataFrame, live: DataFrame, target: str, key: str, live_k
     shuffled anti-join, in which none can weigh more than that share. A null key
     refers to nothing and is an orphan.
     """
-    counted = refs.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counted.agg(F.sum("_n").alias("_all"))
-    heavy = cut(counted.join(F.broadcast(total), F.col("_n") >= F.col("_all") * heavy_share).select(F.col(key).alias("_heavy")).where("_heavy IS NOT NULL"))
+    counted = cut(refs.groupBy(key).agg(F.count("*").alias("_n")))
+    most = counted.agg(F.sum("_n")).first()[0] or 0
+    heavy = counted.where((F.col("_n") >= max(1, most * heavy_share)) & F.col(key).isNotNull()).select(F.col(key).alias("_heavy"))
     alive = live.select(F.col(live_key).alias("_live"))
     dead = heavy.join(alive, heavy._heavy == alive._live, "left_anti")
     of_heavy = refs.join(F.broadcast(dead), refs[key] == F.col("_heavy"), "left_semi")

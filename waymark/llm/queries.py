@@ -6,18 +6,26 @@ from pyspark.sql import functions as F
 
 from waymark.llm import conversations, markup, mixing, pii, splitting, subjects, tokenize
 from waymark.plans.registry import Registry
-from waymark.runtime import table
+from waymark.runtime import spread, table
 
 LLM = Registry()
 
 
+def _documents(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source", "source_type"), "doc_id")
+
+
+def _messages(spark, d):
+    return spread(table(spark, d, "slack_messages").select("msg_id", "channel_id", "text"), "msg_id")
+
+
 @LLM.add("p8_ids")
 def p8_ids(spark, d):
-    return tokenize.encode(table(spark, d, "documents"), ["doc_id"])
+    return tokenize.encode(_documents(spark, d), ["doc_id"])
 
 
 def _mixture(spark, d):
-    return mixing.Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.Mixture(_documents(spark, d), table(spark, d, "mix_targets"))
 
 
 @LLM.add("p9_mixture")
@@ -33,7 +41,7 @@ def p9_shares(spark, d):
 
 @LLM.add("p10_found")
 def p10_found(spark, d):
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     model = subjects.train(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects"))
     return subjects.assign_subjects(docs, model)
 
@@ -84,7 +92,7 @@ def p2_conversations(spark, d):
 
 
 def _cleaned(spark, d):
-    return markup.clean_records(table(spark, d, "slack_messages"), table(spark, d, "remote_items"))
+    return markup.clean_records(_messages(spark, d), spread(table(spark, d, "remote_items").select("feed_id", "source_name", "title"), "feed_id"))
 
 
 @LLM.add("p4_found")
@@ -99,7 +107,7 @@ def p4_clean(spark, d):
 
 
 def _masked(spark, d):
-    return pii.find_and_mask(table(spark, d, "slack_messages"), ["msg_id"])
+    return pii.find_and_mask(_messages(spark, d), ["msg_id"])
 
 
 @LLM.add("p6_found")

@@ -39,6 +39,8 @@ def test_held_out(corpus):
         noisy[i] = np.roll(noisy[i], 1)
     m = subjects.fit(texts[:500], ["obsidian"] * 500, noisy, names)
     p = m.predict(texts[500:] + ["", None, "  \n"], ["obsidian"] * 203)
+    alone = m.predict(["The oven is old. Please keep the agenda near the folder.", "Please keep the outline near the draft."], ["obsidian"] * 2)
+    assert not alone.any()  # one sentence in passing, and none
     assert not p[200:].any()
     right = (p[:200] * y[500:]).sum()
     assert right / p.sum() > 0.95 and right / y[500:].sum() > 0.95
@@ -48,7 +50,7 @@ def test_beam_finds_the_best(corpus):
     texts, y, names = corpus
     m = subjects.fit(texts[:300], ["obsidian"] * 300, y[:300], names)
     b = subjects.to_batch(texts[300:340], m.terms.ids)
-    f = m.features(b, texts[300:340], ["obsidian"] * 40)
+    f = m.features(b, texts[300:340], ["obsidian"] * 40)[:, :, :-1]
     assert (m.chain.decode(f, 8) == m.chain.decode(f, subjects.BEAM)).all()
 
 

@@ -7,7 +7,7 @@ gives the weight of every word and word pair for every subject. A document is de
 by how many of its sentences deal with each subject, by its source kind and by its
 structure; a chain of logistic classifiers, each seeing the labels decided before it,
 turns that into label combinations. Its probabilities are calibrated on folds not
-trained on, and the likeliest combination is found by beam search.
+trained on, and the likeliest combination is found by beam search; of its subjects those remain that enough sentences deal with.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 20_000
 #: Words and word pairs rarer than this in the sample get no weight.
 LEAST_DOCS = 2
-ROUNDS, OTHER, NOTHING, SMOOTH = 6, 0.02, 0.25, 1.0
-#: Least and greatest weight of a term, and what a sentence without any term weighs for no subject.
-LEAST, MOST, EVEN = 0.8, 4.0, 1.0
+ROUNDS, OTHER, NOTHING, SMOOTH = 6, 0.02, 0.25, 0.3
+#: Least weight of a term while sentences are sorted out and in the end, greatest weight, and what a sentence without any term weighs for no subject.
+LEAST, FIRM, MOST, EVEN = 0.8, 1.6, 4.0, 1.0
+#: Sentences that a subject must have, and the subject that program code has without any.
+SENTENCES, OF_CODE = 2, "software"
 BEAM = 6
 KINDS = ("code", "confluence", "jira", "obsidian", "slack")
 
@@ -143,7 +145,7 @@ def learn_weights(b: Batch, terms: Terms, labels: np.ndarray) -> np.ndarray:
         mass = np.stack([np.bincount(t, weights=post[s, c], minlength=len(terms)) for c in range(n_sub)], 1) / held
         p = np.clip((mass + SMOOTH / n_sub) / (np.maximum(total, mass.sum(1))[:, None] + SMOOTH), 1e-3, 1 - 1e-3)
         weights = np.clip(np.log(p / (1 - p)), 0, MOST)
-        weights[weights < LEAST] = 0
+        weights[weights < (LEAST if k < ROUNDS - 2 else FIRM)] = 0
         score = np.log(prior)
         score[:, -1] += EVEN
         for c in range(n_sub):
@@ -235,7 +237,7 @@ class Model:
         return p / p.sum(1, keepdims=True)
 
     def features(self, b: Batch, texts: Sequence[str | None], kinds: Sequence[str | None], weights: np.ndarray | None = None) -> np.ndarray:
-        """Documents x subjects x features."""
+        """Documents x subjects x features; the last one is the number of sentences that deal with the subject."""
         p = self.sentence_subjects(b, weights)
         n_sub = len(self.subjects)
         sure = np.zeros((b.n_docs, n_sub))
@@ -253,11 +255,16 @@ class Model:
         kind = np.array([[float(k == x) for x in KINDS] for k in kinds]).reshape(b.n_docs, len(KINDS))
         common = np.concatenate([kind, shape, np.log1p(n)[:, None] / 3], 1)
         own = np.concatenate([best, np.stack([sure >= 2, sure >= 3, np.log1p(sure), sure / np.maximum(1, n)[:, None]], 2)], 2)
-        return np.concatenate([own, np.repeat(common[:, None, :], n_sub, 1)], 2)
+        return np.concatenate([own, np.repeat(common[:, None, :], n_sub, 1), sure[:, :, None]], 2)
 
     def predict(self, texts: Sequence[str | None], kinds: Sequence[str | None]) -> np.ndarray:
+        """Documents x subjects, 0 or 1: what the chain decodes, confirmed by the number of sentences."""
         b = to_batch(texts, self.terms.ids)
-        out = self.chain.decode(self.features(b, texts, kinds))
+        f = self.features(b, texts, kinds)
+        enough = f[:, :, -1] >= SENTENCES
+        if OF_CODE in self.subjects:
+            enough[[k == "code" for k in kinds], self.subjects.index(OF_CODE)] = True
+        out = self.chain.decode(f[:, :, :-1]) * enough
         filled = np.array([bool(t and t.strip()) for t in texts], dtype=bool)
         return out * filled[:, None]
 
@@ -277,7 +284,7 @@ def fit(texts: Sequence[str], kinds: Sequence[str | None], labels: np.ndarray, s
         if not features.size:
             features = np.zeros((len(texts), *f.shape[1:]))
         features[own] = f
-    model.chain = fit_chain(features, labels)
+    model.chain = fit_chain(features[:, :, :-1], labels)
     return model
 
 

@@ -1,7 +1,9 @@
+import random
+
 import numpy as np
 import pytest
 
-from waymark.llm.pii import find_and_mask, label_texts, mask, propagate
+from waymark.llm.pii import EVIDENCE, Field, find_and_mask, fit_field, generated, label_texts, mask, propagate, pseudo_likelihood, build_graph, spans
 
 CASES = {
     "write to anna_3@mail.example now": {"email"}, "x+alerts @ desk.invalid bounced": {"email"}, "o_65 [at] corp [dot] example": {"email"}, "m.day (at) example.net": {"email"}, "<mailto:a@b.example|a@b.example>": {"email"},
@@ -40,3 +42,28 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "msg_id long, text string, masked string")
     got = sorted(((r.msg_id, r.masked, r.pii_types) for r in find_and_mask(df, ["msg_id"]).collect()), key=str)
     assert got == [(1, "[EMAIL] and [EMAIL]", ["email"])] * 2 + [(2, None, []), (3, "", [])] and find_and_mask(df.limit(0), ["msg_id"]).isEmpty()
+
+
+def test_trained_field():
+    plain = [f"we moved the {a} to next {b}" for a in "lamp table window folder pencil".split() for b in "week month year".split()] * 60
+    f = fit_field(plain)
+    assert len(f.evidence) == len(EVIDENCE) and f.evidence[list(EVIDENCE).index("email")] > 3 > f.evidence[list(EVIDENCE).index("id_loose")]
+    rng = random.Random(99)
+    right = total = wrong = 0
+    for _ in range(600):  # pieces that training didn't see
+        piece, kind = generated(rng)
+        got = {t for _, _, t in label_texts([f"we moved on, {piece}"], f)[0]}
+        total += kind is not None
+        right += kind in got
+        wrong += bool(got - {kind})
+    assert right > 0.95 * total and wrong < 0.03 * 600
+    for text, want in CASES.items():
+        assert {t for _, _, t in label_texts([text], f)[0]} == want, text
+    assert fit_field([]).evidence and fit_field(["", None, "x"]).evidence
+
+
+def test_pseudo_likelihood():
+    text = "cc Priya Wexmere"
+    g = build_graph([text], [spans(text)], Field())
+    gold = np.array([0, 5, 5])
+    assert pseudo_likelihood(g, gold, Field()) > pseudo_likelihood(g, np.array([0, 1, 2]), Field())

@@ -79,7 +79,7 @@ PAGES = {
 }
 
 
-def test_remote(spark):
+def test_remote(spark, tmp_path):
     pages = dict(PAGES)
 
     def recorded(path):
@@ -91,6 +91,13 @@ def test_remote(spark):
     assert w["1"].updated_at == 1704067200 and w["2"].deleted and w["2"].updated_at == 1717192800 and w["1"].synthetic_path == "confluence://OPS/1.confluence"
     assert sorted(r.id for r in remote.poll(spark, recorded, "jira", "issues", ["K"]).collect()) == ["K-1", "K-2"]
     c = {r.id: r for r in remote.poll(spark, recorded, "slack", "chat", ["C1"]).collect()}
+    got = []
+    assert remote.poll_once(spark, recorded, "slack", "chat", ["C1"], 0, 500, got.append) == (2, 500) and remote.poll_once(spark, recorded, "confluence", "wiki", ["NOPE"], 7, 500, got.append) == (0, 7) and len(got) == 1
+    e = Engine(spark, str(tmp_path / "index"))
+    files = remote.item_files(got[0])
+    assert tuple(e.sync(files, 500, snapshot=False).first()) == (2, 0, 0, 0) and e.match("slack:channel:ops").count() == 2
+    one = files.where(F.col("file_path").endswith("01.slack"))
+    assert tuple(e.sync(one.limit(0), 501, snapshot=False).first()) == (0, 0, 0, 0) and tuple(e.sync(one.limit(0), 502, snapshot=False, deleted=one).first()) == (0, 0, 0, 1) and e.match("slack:channel:ops").count() == 1
     assert set(c) == {"C1-1970-01-01", "C1-1970-01-02"} and c["C1-1970-01-02"].updated_at == 90001 and c["C1-1970-01-01"].title == "#ops — 1970-01-01"
 
 

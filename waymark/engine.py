@@ -143,11 +143,21 @@ class Engine:
         found = file_source.walk(self.spark, root, ignore_lines, kinds)
         return self.sync(found, now, root, extra, kinds)
 
-    def sync(self, found: DataFrame, now: int, root: str | None = None, extra: dict[str, Parser] | None = None, kinds: Sequence[str] | None = None) -> DataFrame:
-        """``index`` over a table of file_path, content, content_hash, parser."""
+    def sync(self, found: DataFrame, now: int, root: str | None = None, extra: dict[str, Parser] | None = None, kinds: Sequence[str] | None = None, snapshot: bool = True, deleted: DataFrame | None = None) -> DataFrame:
+        """``index`` over a table of file_path, content, content_hash, parser.
+
+        With ``snapshot`` False the table holds changes only, as a poll's items do: what
+        it lacks stays, and ``deleted`` (file_path) tells what is gone.
+        """
         t = self.tables
         known = t.documents if kinds is None else t.documents.where(file_source.parser_of(F.col("file_path")).isin(*kinds))
-        actions = cut(ingest.snapshot_actions(found.select("file_path", "content_hash"), known, root, t.tombstones))
+        actions = ingest.snapshot_actions(found.select("file_path", "content_hash"), known, root, t.tombstones)
+        if not snapshot:
+            actions = actions.where("action <> 'tombstoned'")
+            if deleted is not None:
+                gone = known.join(deleted.select("file_path").distinct(), "file_path", "left_semi").join(t.tombstones.select("doc_id"), "doc_id", "left_anti").join(found.select("file_path"), "file_path", "left_anti")
+                actions = actions.unionByName(gone.select("file_path", "doc_id", F.lit("tombstoned").alias("action")))
+        actions = cut(actions)
         changed = actions.where("action IN ('indexed', 'updated')")
         parsed = cut(parse_files(found.join(changed.select("file_path"), "file_path", "left_semi"), extra).where("error IS NULL"))
         fresh = chunk_ops.next_ids(changed.where("action = 'indexed'").select("file_path"), t.documents, "doc_id", ["file_path"])

@@ -57,12 +57,22 @@ def extension(path: Column) -> Column:
 
 
 def iso_seconds(s: Column) -> Column:
-    """Unix seconds of the first 19 characters of an ISO 8601 time, whatever offset follows; null if it is none."""
-    return F.unix_timestamp(F.try_to_timestamp(F.regexp_replace(F.substring(s, 1, 19), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss")))
+    """Unix seconds of the first 19 characters of an ISO 8601 time, whatever offset follows; null if it is none.
+
+    By the calendar alone, so the session's time zone makes no difference.
+    """
+    good = s.rlike(r"^\d{4}-\d{2}-\d{2}[T ]([01]\d|2[0-3]):[0-5]\d:[0-5]\d")
+    part = lambda at: F.substring(s, at, 2).try_cast("long")
+    return F.when(good, day_seconds(F.substring(s, 1, 10)) + part(12) * 3600 + part(15) * 60 + part(18))
 
 
 def utc_day(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+    return F.date_format(utc_date(seconds), "yyyy-MM-dd")
+
+
+def utc_date(seconds: Column) -> Column:
+    """The UTC date of a Unix time, in whatever time zone the session is."""
+    return F.date_from_unix_date(F.floor(seconds / F.lit(86_400)).cast("int"))
 
 
 def day_seconds(day: Column) -> Column:

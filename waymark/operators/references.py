@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.names import fold, fold_ascii, is_ascii, reference_name, undo_percent
+from waymark.functions.text import utc_date
 from waymark.runtime import cut
 
 #: A key is heavy if it holds at least this share of all references: there are at most 1 / HEAVY_SHARE of them.
@@ -37,7 +38,7 @@ def live_names(live: DataFrame) -> DataFrame:
 
 
 def month_of(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM")
+    return F.date_format(utc_date(seconds), "yyyy-MM")
 
 
 def references(doc_links: DataFrame, chunks: DataFrame) -> DataFrame:

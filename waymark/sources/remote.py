@@ -8,14 +8,20 @@ channel; a partition follows its pages by itself.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from waymark.operators.ingest import content_hash
+from waymark.runtime import cut
+from waymark.sources.files import parser_of
+
 ITEMS = "source_name string, id string, synthetic_path string, title string, updated_at long, deleted boolean, content string"
 Fetch = Callable[[str], dict]
 
@@ -117,3 +123,26 @@ def poll(spark: SparkSession, fetch: Fetch, kind: str, name: str, scopes: list[s
     """The items of one poll as a table. A failing scope fails the poll, so nothing later counts as read."""
     spark.dataSource.register(remote_source(fetch))
     return spark.read.format("waymark_remote").options(kind=kind, name=name, scopes=",".join(scopes), since=since).load()
+
+
+def poll_once(spark: SparkSession, fetch: Fetch, kind: str, name: str, scopes: list[str], since: int, now: int, ingest: Callable[[DataFrame], None]) -> tuple[int, int]:
+    """(items ingested, time that the next poll starts from): ``now`` if all went well, else ``since``, with nothing ingested.
+
+    Deleted items are handed on with their flag. Ingestion is by content, so items that
+    come again after a failure change nothing.
+    """
+    try:
+        items = cut(poll(spark, fetch, kind, name, scopes, since))
+    except Exception as e:  # a source may fail in any way
+        logging.getLogger(__name__).warning("poll of %s failed: %s", name, str(e).splitlines()[0])
+        return 0, since
+    n = items.count()
+    if n:
+        ingest(items)
+    return n, now
+
+
+def item_files(items: DataFrame) -> DataFrame:
+    """Live items as a file table (file_path, content, content_hash, parser) for ``Engine.sync``."""
+    live = items.where("NOT coalesce(deleted, false) AND content IS NOT NULL").select(F.col("synthetic_path").alias("file_path"), F.col("content").cast("binary").alias("content"))
+    return live.select("file_path", "content", content_hash(F.col("content")).alias("content_hash"), parser_of(F.col("file_path")).alias("parser"))

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.fitting import logistic
+
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 PLACEHOLDERS = {t: f"[{t.upper()}]" for t in TYPES}
 NOTHING, EMAIL, PHONE, ID_NUMBER, ADDRESS, NAME = range(6)
@@ -345,9 +347,8 @@ def fit_field(texts: Sequence[str], seed: int = 0) -> Field:
     for r, (_, s) in enumerate(rows):
         x[r, [_AT_EVIDENCE[e] for e in s[3]]] = 1
     y = np.array([float(right(i, s)) for i, s in rows])
-    prior = np.array(list(EVIDENCE.values()))  # what is never seen keeps its given weight
-    shift = logistic_from(x, y, prior)
-    field = Field(tuple(float(w) for w in shift))
+    weights = logistic(x, y, 0.5, 40, np.array(list(EVIDENCE.values())))  # what is never seen keeps its given weight
+    field = Field(tuple(float(w) for w in weights))
     g = build_graph(made, found, field)
     gold = np.zeros(len(g.holder), int)
     for k, (i, (a, b)) in enumerate(zip(g.holder, g.places, strict=True)):
@@ -358,18 +359,6 @@ def fit_field(texts: Sequence[str], seed: int = 0) -> Field:
     return best
 
 
-def logistic_from(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float = 0.5, steps: int = 40) -> np.ndarray:
-    """Weights of a logistic regression without a constant, drawn towards ``start``."""
-    w = start.astype(float).copy()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * (w - start))
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def pseudo_likelihood(g: Graph, gold: np.ndarray, field: Field) -> float:
     """Sum over tokens of the log probability of the true label, given the true labels of its neighbours."""
     strength = field.strengths(g.kind)

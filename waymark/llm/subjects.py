@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.llm.fitting import logistic
+
 #: Labelled documents that the classifiers are fitted on, at most, and the longest text among them in bytes.
 MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 20_000
 #: Words and word pairs rarer than this in the sample get no weight.
@@ -184,18 +186,6 @@ class Chain:
         return combos[:, 0]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30) -> np.ndarray:
-    """Weights of a logistic classifier with an L2 penalty, by Newton's method."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
-
-
 def fit_chain(features: np.ndarray, labels: np.ndarray, folds: int = 4) -> Chain:
     """The chain, in order of falling frequency, with each classifier calibrated (Platt) on folds left out."""
     order = sorted(range(labels.shape[1]), key=lambda c: (-labels[:, c].sum(), c))

@@ -140,3 +140,27 @@ def test_rank_within(spark):
     want = df.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("o")))
     assert sorted(map(tuple, got.select("k", "o", "place").collect())) == sorted(map(tuple, want.select("k", "o", "place").collect()))
     assert rank_within(df.withColumn("k", F.lit(None).cast("string")), ["k"], ["o"], "place").agg(F.max("place")).first()[0] == 3000 and rank_within(df.limit(0), ["k"], ["o"], "place").isEmpty()
+
+
+def test_broken_run(spark, tmp_path, monkeypatch):
+    from waymark.operators.manifest import ManifestTable
+
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    for n in "abc":
+        (vault / f"{n}.md").write_text(f"# {n}\n[[a]] #tag-{n}\n")
+    e = Engine(spark, str(tmp_path / "index"))
+    commit = ManifestTable.commit
+
+    def fails(self, *args, **kwargs):
+        if self.root.endswith("/documents"):
+            raise OSError("lost")
+        return commit(self, *args, **kwargs)
+
+    monkeypatch.setattr(ManifestTable, "commit", fails)
+    with pytest.raises(OSError):
+        e.index(str(vault), 1)
+    monkeypatch.setattr(ManifestTable, "commit", commit)
+    assert e.tables.documents.isEmpty()
+    assert tuple(e.index(str(vault), 2).first()) == (3, 0, 0, 0)
+    assert e.tables.documents.count() == 3 and e.tables.chunks.count() == 3 and e.tables.edges.count() == 3 and e.tables.vectors.count() == 3 and e.filters("tag").count() == 3

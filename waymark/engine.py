@@ -1,8 +1,9 @@
 """One object for the whole index: search, semantic search, inspection, graph queries and upkeep.
 
 An index is a folder of manifest tables: documents, chunks, doc_keys, edges, pending,
-tombstones and vectors. Every method returns a DataFrame; writing methods publish each
-table's new version by one rename.
+tombstones and vectors. Reading methods return DataFrames. Writing methods append what
+changed, with deletes of the documents it replaces, and publish each table's new version
+by one rename: a run costs what changed, not what there is. ``compact`` rewrites.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ SCHEMAS = {
     "edges": "from_id long, to_id long, category string, kind string, weight float, byte_offset long, created_at long",
     "pending": "from_id long, target_ref string, category string, kind string, byte_offset long, created_at long",
     "tombstones": "doc_id long, tombstoned_at long",
-    "vectors": "id long, embedding array<float>",
+    "vectors": "id long, embedding array<float>, doc_id long",
 }
+#: The column by whose values rows of a table are replaced; doc_id in all others.
+REPLACED_BY = {"edges": "from_id", "pending": "from_id"}
 
 
 class Tables:
@@ -43,15 +46,40 @@ class Tables:
             raise AttributeError(name)
         if name in self.given:
             return self.given[name]
-        found = ManifestTable(self.spark, f"{self.root}/{name}").read("data") if self.root else None
-        return self.spark.createDataFrame([], SCHEMAS[name]) if found is None else found
-
-    def publish(self, **new: DataFrame) -> None:
-        """Write every table in full, then make them current one after another."""
+        stored = ManifestTable(self.spark, f"{self.root}/{name}") if self.root else None
+        rows = stored.read("data") if stored else None
+        if rows is None:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        deletes = stored.read("deletes")
+        if deletes is not None:  # a row goes if a later version replaces its document
+            last = deletes.groupBy("_key").agg(F.max("_at").alias("_gone"))
+            rows = rows.join(last, (rows[REPLACED_BY.get(name, "doc_id")] == last._key) & (rows._seq < last._gone), "left_anti")
+        return rows.drop("_seq")
+
+    def change(self, **changes: tuple[DataFrame, DataFrame | None]) -> None:
+        """Append to each table (rows, ids whose earlier rows they replace); all is written before any version is published.
+
+        Versions are published in the given order. With documents, from which a run sees
+        what is left to do, as the last, a run that breaks off is made good by the next.
+        """
+        staged = []
+        for name, (rows, replaced) in changes.items():
+            t = ManifestTable(self.spark, f"{self.root}/{name}")
+            base = t.version()
+            parts = {"data": [t.stage("data", rows.withColumn("_seq", F.lit(base + 1).cast("long")))]}
+            if replaced is not None:
+                parts["deletes"] = [t.stage("deletes", replaced.select(F.col(replaced.columns[0]).alias("_key"), F.lit(base + 1).cast("long").alias("_at")).distinct())]
+            staged.append((t, base, parts))
+        for t, base, parts in staged:
+            t.commit(parts, base)
+
+    def rewrite(self, **new: DataFrame) -> None:
+        """Put each table in place of all its versions' folders."""
         staged = []
         for name, df in new.items():
             t = ManifestTable(self.spark, f"{self.root}/{name}")
-            staged.append((t, t.version(), t.stage("data", df)))
+            base = t.version()
+            staged.append((t, base, t.stage("data", df.withColumn("_seq", F.lit(base + 1).cast("long")))))
         for t, base, folder in staged:
             t.commit({"data": [folder]}, base, replace=True)
 
@@ -163,29 +191,32 @@ class Engine:
         fresh = chunk_ops.next_ids(changed.where("action = 'indexed'").select("file_path"), t.documents, "doc_id", ["file_path"])
         ids = cut(changed.where("action = 'updated'").select("file_path", "doc_id").unionByName(fresh.select("file_path", "doc_id")).join(parsed.select("file_path"), "file_path", "left_semi"))
         hashes = found.groupBy("file_path").agg(F.max("content_hash").alias("blake3_hash"))
-        keys = keys_of(parsed, ids)
+        keys = cut(keys_of(parsed, ids))
         source = keys.where(F.col("bitmap_key").startswith("source:")).groupBy("doc_id").agg(F.substring(F.min("bitmap_key"), 8, 1000).alias("source_type"))
         docs = ids.join(parsed.select("file_path", "auto_type", "text"), "file_path").join(hashes, "file_path").join(source, "doc_id", "left")
         docs = docs.select("doc_id", "file_path", "source_type", "auto_type", "blake3_hash", F.lit(now).cast("long").alias("last_indexed"), "text")
-        touched = ids.select("doc_id")
-        chunks = chunk_rows(parsed, ids)
-        all_docs = t.documents.join(touched, "doc_id", "left_anti").unionByName(docs)
-        new_chunks = chunk_ops.replace_chunks(t.chunks, chunks.drop("position"))
+        docs = cut(docs)
+        replaced = ids.select("doc_id")  # new ids too: a run that broke off may have left rows of theirs
+        chunks = cut(chunk_ops.next_ids(chunk_rows(parsed, ids).drop("position"), t.chunks, "chunk_id", ["doc_id", "byte_start"]).select(*t.chunks.columns))
         links = link_rows(parsed, ids).withColumn("created_at", F.lit(now).cast("long"))
-        waiting = t.pending.join(touched.select(F.col("doc_id").alias("from_id")), "from_id", "left_anti").unionByName(links)
-        edges, pending = graph.resolve(waiting, all_docs)
+        names = t.documents.select("doc_id", "file_path").join(replaced, "doc_id", "left_anti").unionByName(docs.select("doc_id", "file_path"))
+        edges, waiting = graph.resolve(links, names)
+        others = t.pending.join(docs.select(F.col("doc_id").alias("from_id")), "from_id", "left_anti")
+        late = cut(graph.resolve(others, docs.select("doc_id", "file_path"))[0])  # what waited for the new documents
+        moved = late.select("from_id").distinct()
+        rest = graph.resolve(others.join(moved, "from_id", "left_semi"), docs.select("doc_id", "file_path"))[1]
+        late = late.join(t.edges.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti")
         gone = actions.where("action = 'tombstoned'").select("doc_id", F.lit(now).cast("long").alias("tombstoned_at"))
-        new = {
-            "documents": all_docs, "chunks": new_chunks, "doc_keys": t.doc_keys.join(touched, "doc_id", "left_anti").unionByName(keys), "edges": graph.replace_outgoing(t.edges, touched, edges), "pending": pending,
-            "tombstones": t.tombstones.join(touched, "doc_id", "left_anti").unionByName(gone),
-        }
-        texts = new_chunks.join(touched, "doc_id", "left_semi").join(docs.select("doc_id", F.col("text").cast("binary").alias("_b")), "doc_id")
+        texts = chunks.join(docs.select("doc_id", F.col("text").cast("binary").alias("_b")), "doc_id")
         from waymark.functions.text import chunk_bytes
 
         texts = texts.select(F.col("chunk_id").alias("id"), chunk_bytes(F.col("_b"), F.col("byte_start"), F.col("byte_end")).alias("text"))
-        kept = t.vectors.join(new_chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
-        new["vectors"] = kept.unionByName(vectors.embed_texts(texts, self.embedder))
-        self.tables.publish(**{k: cut(v) for k, v in new.items()})
+        embedded = vectors.embed_texts(texts, self.embedder).join(chunks.select(F.col("chunk_id").alias("id"), "doc_id"), "id")
+        out = [replaced.select(F.col("doc_id").alias("from_id")), moved]
+        self.tables.change(
+            chunks=(chunks, replaced), doc_keys=(keys, replaced), vectors=(embedded, replaced), tombstones=(gone, replaced),
+            edges=(graph.distinct_edges(edges.unionByName(late)), out[0]), pending=(waiting.unionByName(rest), out[0].union(out[1])), documents=(docs, replaced),
+        )
         return ingest.action_counts(actions)
 
     def compact(self) -> None:
@@ -193,5 +224,5 @@ class Engine:
         t = self.tables
         out = ingest.compact(t.tombstones, documents=t.documents, chunks=t.chunks, doc_keys=t.doc_keys, edges=t.edges)
         out["pending"] = t.pending.join(t.tombstones.select(F.col("doc_id").alias("from_id")).distinct(), "from_id", "left_anti")
-        out["vectors"] = t.vectors.join(out["chunks"].select(F.col("chunk_id").alias("id")), "id", "left_semi")
-        self.tables.publish(**{k: cut(v) for k, v in out.items()})
+        out["vectors"] = t.vectors.join(t.tombstones.select("doc_id").distinct(), "doc_id", "left_anti")
+        self.tables.rewrite(**out)

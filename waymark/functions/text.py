@@ -72,7 +72,7 @@ def utc_day(seconds: Column) -> Column:
 
 def utc_date(seconds: Column) -> Column:
     """The UTC date of a Unix time, in whatever time zone the session is."""
-    return F.date_from_unix_date(F.floor(seconds / F.lit(86_400)).cast("int"))
+    return F.date_from_unix_date(F.floor(seconds / F.lit(86_400)).try_cast("int"))
 
 
 def day_seconds(day: Column) -> Column:
@@ -87,4 +87,4 @@ def strict_base64(s: Column) -> Column:
 
 def chunk_bytes(content: Column, start: Column, end: Column) -> Column:
     """The text of a byte range of UTF-8 content; broken characters at its edges are replaced."""
-    return F.decode(F.substring(content, (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")
+    return F.decode(F.substring(content, (start + 1).try_cast("int"), (end - start).try_cast("int")), "UTF-8")

@@ -22,7 +22,7 @@ MILLISECONDS_FROM = 100_000_000_000
 
 def whole_seconds(t: Column) -> Column:
     """A Unix time in seconds, from seconds or milliseconds."""
-    return F.when(F.abs(t) >= MILLISECONDS_FROM, F.floor(t / 1000)).otherwise(t).cast("long")
+    return F.when((t >= MILLISECONDS_FROM) | (t <= -MILLISECONDS_FROM), F.floor(t / 1000)).otherwise(t).cast("long")
 
 
 def split_feed(feed: DataFrame, keys: Sequence[str], sequence: Sequence[Column], deleted: Column) -> tuple[DataFrame, DataFrame]:

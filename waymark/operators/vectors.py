@@ -75,7 +75,7 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int = 10, candidates:
 
     ``candidates`` (id) filters before anything is scored. Null embeddings aren't candidates.
     """
-    v = vectors.where("embedding IS NOT NULL")
+    v = vectors.where("id IS NOT NULL AND embedding IS NOT NULL")
     if candidates is not None:
         v = v.join(candidates.select("id").distinct(), "id", "left_semi")
     scored = v.select("id", "embedding").mapInPandas(_score_block(np.array([0]), _matrix([list(query)]), k, False), "query_id long, id long, score double")
@@ -85,7 +85,7 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int = 10, candidates:
 def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The queries (id, embedding) on the driver, block after block; never more than one block at once."""
     block: list = []
-    for r in queries.select("id", "embedding").where("embedding IS NOT NULL").toLocalIterator():
+    for r in queries.select("id", "embedding").where("id IS NOT NULL AND embedding IS NOT NULL").toLocalIterator():
         block.append(r)
         if len(block) == size:
             yield np.array([x[0] for x in block]), _matrix([x[1] for x in block])
@@ -98,7 +98,7 @@ def nearest_for_all(vectors: DataFrame, queries: DataFrame, k: int = 10, skip_se
     """query_id, id, score, rank of the k nearest vectors of every query, exactly, in blocks of queries."""
     out = None
     for qids, q in _blocks(queries, block):
-        scored = vectors.where("embedding IS NOT NULL").select("id", "embedding").mapInPandas(_score_block(qids, q, k, skip_self), "query_id long, id long, score double")
+        scored = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding").mapInPandas(_score_block(qids, q, k, skip_self), "query_id long, id long, score double")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
@@ -114,7 +114,7 @@ class CellIndex:
     """
 
     def __init__(self, vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE, seed: int = 0, rounds: int = 12):
-        some = vectors.where("embedding IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("embedding").toPandas()
+        some = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("embedding").toPandas()
         m = _matrix(some.embedding.tolist())
         rng = np.random.RandomState(seed)
         self.centres = m[rng.permutation(len(m))[: min(cells, len(m))]]
@@ -131,7 +131,7 @@ class CellIndex:
             for pdf in batches:
                 yield pdf.assign(cell=(_matrix(pdf.embedding.tolist()) @ centres.T).argmax(1).astype("int32") if len(pdf) else pd.Series(dtype="int32"))
 
-        self.rows = vectors.where("embedding IS NOT NULL").select("id", "embedding").mapInPandas(assign, "id long, embedding array<float>, cell int")
+        self.rows = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding").mapInPandas(assign, "id long, embedding array<float>, cell int")
 
     def _probes(self, m: np.ndarray, k: int = 10, queries: int = 256) -> int:
         """The least number of cells that hold RECALL of the sample rows' k nearest rows."""

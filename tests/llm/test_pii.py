@@ -67,3 +67,9 @@ def test_pseudo_likelihood():
     g = build_graph([text], [spans(text)], Field())
     gold = np.array([0, 5, 5])
     assert pseudo_likelihood(g, gold, Field()) > pseudo_likelihood(g, np.array([0, 1, 2]), Field())
+
+
+def test_keys_are_kept(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(big, "a@b.example"), (None, "a@b.example")], "msg_id long, text string")
+    assert {r.msg_id for r in find_and_mask(df, ["msg_id"], field=Field()).collect()} == {big, None}

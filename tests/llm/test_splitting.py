@@ -44,3 +44,11 @@ def test_chunks(spark):
     assert all(r.label is None and r.depth is None for r in third) and min(r.byte_start for r in third) == 0 and max(r.byte_end for r in third) == 1501
     assert sorted(r.piece for r in got if r.chunk_id == 1) == list(range([r for r in got if r.chunk_id == 1][0].n_pieces))
     assert max(r.byte_end for r in got if r.chunk_id == 9) == n and split_chunks(chunks.limit(0), docs).isEmpty() and split_chunks(chunks, docs.limit(0)).isEmpty()
+
+
+def test_keys_are_kept(spark):
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, "word " * 900), (None, "word " * 900)], "doc_id long, text string")
+    chunks = spark.createDataFrame([(big, big, 0, None, "a", None), (None, big, 5, None, None, 1), (7, None, 0, None, "x", 1)], "chunk_id long, doc_id long, byte_start long, byte_end long, label string, depth int")
+    got = split_chunks(chunks, docs).collect()
+    assert {(r.chunk_id, r.doc_id, r.depth) for r in got} == {(big, big, None), (None, big, 1)}

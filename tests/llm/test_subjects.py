@@ -73,3 +73,11 @@ def test_frames(spark, corpus):
 def test_words():
     assert subjects.words_of("A b. C\n渡し船と空港。<p>x</p>") == ["a", "b", "\n", "c", "\n", "渡", "船", "空港", "\n", "\n", "x", "\n"]
     assert subjects.structure_of("def f(x):\n    return 1\nx = {\n}\n")[0] > 0
+
+
+def test_keys_are_kept(spark, corpus):
+    texts, y, names = corpus
+    m = subjects.fit(texts[:300], ["obsidian"] * 300, y[:300], names)
+    big = 2**60 + 1
+    docs = spark.createDataFrame([(big, texts[300], "obsidian"), (None, texts[301], None)], "doc_id long, text string, source_type string")
+    assert {r.doc_id for r in subjects.assign_subjects(docs, m).collect()} == {big, None}

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -396,13 +396,14 @@ def find_and_mask(messages: DataFrame, keys: Sequence[str], text: str = "text",
     picked = messages.select(*keys, F.col(text).alias("_text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.drop("_text").schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, len(whole), 2_000):
-                pdf = whole.iloc[lo : lo + 2_000]
-                found = label_texts([t or "" for t in pdf._text], field)
-                masked = [None if t is None else mask(t, f) if f else t for t, f in zip(pdf._text, found, strict=True)]
+            for lo in range(0, whole.num_rows, 2_000):
+                b = whole.slice(lo, 2_000)
+                texts = b.column("_text").to_pylist()
+                found = label_texts([t or "" for t in texts], field)
+                masked = [None if t is None else mask(t, f) if f else t for t, f in zip(texts, found, strict=True)]
                 kinds = [[t for t in TYPES if any(t == x for _, _, x in f)] for f in found]
-                yield pdf.drop(columns="_text").assign(masked=masked, pii_types=kinds)
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(masked, pa.string()), pa.array(kinds, pa.list_(pa.string()))], [*keys, "masked", "pii_types"])
 
-    return picked.mapInPandas(run, f"{types}, masked string, pii_types array<string>")
+    return picked.mapInArrow(run, f"{types}, masked string, pii_types array<string>")

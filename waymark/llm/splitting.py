@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import sqrt
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,14 +131,20 @@ def split_chunks(chunks: DataFrame, documents: DataFrame, limit: int = LIMIT, ov
     chunk_id, doc_id, piece (from 0), n_pieces, byte_start, byte_end, boundary (what the
     piece ends at), label, depth. Chunks within the limit have no rows: they stay as they are.
     """
-    schema = "chunk_id long, doc_id long, piece int, n_pieces int, byte_start long, byte_end long, boundary string, label string, depth int"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for c, d, label, depth, at, part in pdf.itertuples(index=False, name=None):
-                pieces = split(bytes(part), limit, overlap)
-                rows.extend((c, d, i, len(pieces), at + x, at + y, kind, label, depth) for i, (x, y, kind) in enumerate(pieces))
-            yield pd.DataFrame(rows, columns=["chunk_id", "doc_id", "piece", "n_pieces", "byte_start", "byte_end", "boundary", "label", "depth"]).astype({"depth": "Int32"})
-
-    return oversized(chunks, documents, limit).mapInPandas(run, schema)
+    whole = pa.schema([("piece", pa.int32()), ("n_pieces", pa.int32()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("boundary", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, owner = [], []
+            for r, (at, part) in enumerate(zip(b.column("_from").to_pylist(), b.column("_part").to_pylist(), strict=True)):
+                pieces = split(part, limit, overlap)
+                owner += [r] * len(pieces)
+                rows += [{"piece": i, "n_pieces": len(pieces), "byte_start": at + x, "byte_end": at + y, "boundary": kind} for i, (x, y, kind) in enumerate(pieces)]
+            made = pa.RecordBatch.from_pylist(rows, whole)
+            own = pa.array(owner, pa.int64())
+            keys = ["chunk_id", "doc_id", "label", "depth"]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in keys), *made.columns], [*keys, *whole.names])
+
+    parts = oversized(chunks, documents, limit)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select("chunk_id", "doc_id", "label", "depth").schema)
+    return parts.mapInArrow(run, f"{types}, piece int, n_pieces int, byte_start long, byte_end long, boundary string")

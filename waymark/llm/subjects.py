@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,19 +306,19 @@ def train(documents: DataFrame, subject_labels: DataFrame, subjects: DataFrame,
 
 def assign_subjects(documents: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, subject: a row for every subject of every document; repeated documents give repeated rows."""
-    picked = documents.select("doc_id", "text", "source_type")
+    picked = documents.select(F.col("doc_id").cast("long"), "text", "source_type")
     schema = "doc_id long, subject string"
     if model is None:
         return picked.sparkSession.createDataFrame([], schema)
     shared = picked.sparkSession.sparkContext.broadcast(model)  # bounded by the labelled sample
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        names = pa.array(m.subjects, pa.string())
         for whole in batches:
-            for lo in range(0, len(whole), 1_000):
-                pdf = whole.iloc[lo : lo + 1_000]
-                y = m.predict(list(pdf.text), list(pdf.source_type))
-                d, c = np.nonzero(y)
-                yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy()[d], "subject": np.array(m.subjects, dtype=object)[c]})
+            for lo in range(0, whole.num_rows, 1_000):
+                b = whole.slice(lo, 1_000)
+                d, c = np.nonzero(m.predict(b.column("text").to_pylist(), b.column("source_type").to_pylist()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(d)), names.take(pa.array(c))], ["doc_id", "subject"])
 
-    return picked.mapInPandas(run, schema)
+    return picked.mapInArrow(run, schema)

@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.llm.conversations import BUCKET, LinkScore, broken_threads, conversations, counting_messages, fit_links, links, trees
@@ -77,3 +79,50 @@ def test_times(spark):
     m = frame(spark, {"ts": "99999999999999"}, {"ts": "-1.5"}, {"ts": "1e3"}, {"ts": " 7 ", "thread_ts": "99999999999999999999999"})
     assert sorted((r.us, r.thread_us) for r in counting_messages(m).collect()) == [(-1_500_000, None), (7_000_000, None), (1_000_000_000, None)]
     assert links(counting_messages(m)).count() == 3
+
+
+def test_links_at_any_gap(spark):
+    noise = [{"ts": f"{5_000 + 60 * i}", "user_id": f"N{i % 7}", "text": f"chatter noise{i} blah{i} and so on{i}"} for i in range(100)]
+    m = frame(
+        spark, *noise, {"ts": "100", "user_id": "UA", "text": "the parser fails with weird unicode input"}, {"ts": f"{100 + BUCKET + 9_000}", "user_id": "UB", "text": "<@UA> which unicode input fails the parser"},
+    )
+    slow = LinkScore(base=-2.0, per_minute=-0.002)
+    reply = links(counting_messages(m), slow).where("speaker = 'UB'").first()
+    assert (reply.parent_us, reply.link) == (100_000_000, "judged") and reply.odds > 0
+    assert links(counting_messages(m), LinkScore()).where("speaker = 'UB'").first().link == "start"
+    assert links(counting_messages(m), LinkScore(base=-2.0, per_minute=0.0)).where("speaker = 'UB'").first().parent_us == 100_000_000
+    with pytest.raises(ValueError):
+        links(counting_messages(m), LinkScore(per_minute=0.1))
+
+
+@pytest.mark.parametrize("score", [LinkScore(), LinkScore(-0.8, -0.0015, 3.0, 3.4, 1.9, 0.6), LinkScore(-1.0, -0.01, 2.0, -1.0, -0.5, 0.2), LinkScore(-1.0, 0.0, -1.0, 4.0, -0.5, 0.2)])
+def test_links_as_by_brute_force(spark, score):
+    rng = random.Random(7)
+    rows, at = [], 0
+    for _ in range(250):
+        at += rng.choice([5, 40, 300, 2_000, 9_000])
+        text = " ".join(rng.choices(["apple", "berry", "cedar", "delta", "ember", "the", "fjord"], [1, 1, 1, 1, 1, 6, 1], k=rng.randint(1, 5))) + rng.choice(["", "", " <@U1>", " <@U2> <@U3>"])
+        rows.append({"ts": f"{at}", "user_id": rng.choice(["U1", "U2", "U3", "U4", None]), "text": text})
+    rows = [r | {"username": None} for r in rows]
+    words = [frozenset(w for w in r["text"].lower().replace("<@", "").replace(">", "").split() if len(w) > 2) for r in rows]
+    want = {}
+    for i, r in enumerate(rows):
+        best = (-1.0, None)
+        for j, q in enumerate(rows[:i]):
+            shared = len(words[i] & words[j]) / (1 + min(len(words[i]), len(words[j]))) if words[i] and words[j] else 0.0
+            who = q["user_id"]
+            s = score.of(float(int(r["ts"]) - int(q["ts"])), who is not None and who in r["text"], shared, who is not None and who == r["user_id"], len(words[i]) < 3)
+            best = max(best, (s, j)) if s >= 0 else best
+        want[int(r["ts"]) * 1_000_000] = None if best[1] is None else int(rows[best[1]]["ts"]) * 1_000_000
+    got = {r.us: r.parent_us for r in links(counting_messages(frame(spark, *rows)), score).collect()}
+    assert got == want and any(want.values())
+
+
+def test_trained_on_far_replies(spark):
+    rows = []
+    for i in range(60):  # replies come hours after their start, at times after other threads' starts
+        a, b = 40_000 * i, 40_000 * i + 3_600
+        rows += [{"ts": f"{a}", "user_id": "A", "text": f"topic alpha{i} beta{i} gamma{i}", "thread_ts": f"{a}"}, {"ts": f"{b}", "user_id": "B", "text": f"matter delta{i} zeta{i} eta{i}", "thread_ts": f"{b}"}]
+        rows += [{"ts": f"{a + 9_000}", "user_id": "C", "text": f"about alpha{i} beta{i} indeed", "thread_ts": f"{a}"}, {"ts": f"{b + 12_000}", "user_id": "D", "text": f"about delta{i} zeta{i} indeed", "thread_ts": f"{b}"}]
+    s = fit_links(counting_messages(frame(spark, *rows)))
+    assert s.of(9_000, False, 0.5, False, False) > 0 > s.of(9_000, False, 0.0, False, False)

@@ -1,18 +1,20 @@
 """Problem 2: rebuilding conversations from message rows, by disentangling channels.
 
 Of every message the row received last counts. Every message gets one parent: the start
-of its thread if it names one, else the likeliest of the messages shortly before it in
-its channel, judged by the time between, mentions and shared words, or none. The links
-form trees, and each tree is a conversation. Channels are cut into time buckets that
-repeat the tail of the bucket before, so a channel with a third of all messages is
-spread over tasks and no task holds more than the messages within reach of one.
+of its thread if it names one, else the likeliest of the messages before it in its
+channel, judged by the time between, mentions and shared words, or none. The links form
+trees, and each tree is a conversation. How far back a link may go follows from the
+weights: beyond ``LinkScore.reach`` no message can have even odds. Channels are cut into
+time buckets that repeat that much of the bucket before, so a channel with a third of
+all messages is spread over tasks and no task holds more than the messages within reach
+of one.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import OrderedDict, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -39,11 +41,11 @@ _WORD = re.compile(r"[^\W_]{3,}")
 
 @dataclass(frozen=True)
 class LinkScore:
-    """Log odds that a message answers another, and how far back candidates are looked for.
+    """Log odds that a message answers another.
 
     Messages of at most two words ("on it") are more likely answers. A link is made where
-    the odds are at least even; of equal ones the later parent wins.
-    ``reach`` must be at most a bucket of ``BUCKET`` seconds.
+    the odds are at least even; of equal ones the later parent wins. ``per_minute`` must
+    not be above zero.
     """
 
     base: float = -0.4
@@ -52,8 +54,13 @@ class LinkScore:
     overlap: float = 4.0
     same_speaker: float = -0.8
     short: float = 0.9
-    reach: int = 1_800
-    candidates: int = 40
+
+    def reach(self) -> int | None:
+        """Microseconds beyond which even all that speaks for a link leaves the odds below even; None without such a bound."""
+        most = self.base + sum(max(w, 0.0) for w in (self.mention, self.overlap, self.same_speaker, self.short))
+        if most < 0:
+            return 0
+        return math.ceil(most / -self.per_minute * 60_000_000) if self.per_minute < 0 else None
 
     def of(self, gap: float, mentioned: bool, shared: float, same: bool, short: bool) -> float:
         return sum(w * x for w, x in zip(self.weights(), self.features(gap, mentioned, shared, same, short), strict=True))
@@ -66,8 +73,8 @@ class LinkScore:
         return (1.0, gap / 60, float(mentioned), shared, float(same), float(short))
 
 
-#: Seconds of a channel in one bucket; buckets and pairs that link weights are trained on at most.
-BUCKET, TRAIN_BUCKETS, TRAIN_PAIRS = 21_600, 2_000, 20_000
+#: Seconds of a channel in one bucket at least; threads and pairs that link weights are trained on at most.
+BUCKET, TRAIN_THREADS, TRAIN_PAIRS = 21_600, 2_000, 20_000
 
 
 def micros(ts: Column) -> Column:
@@ -97,13 +104,92 @@ def counting_messages(messages: DataFrame) -> DataFrame:
     return best.withColumn("gone", F.coalesce(F.col("subtype").isin(*GONE), F.lit(False)))
 
 
+def _shared(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / (1 + min(len(a), len(b))) if a and b else 0.0
+
+
+class _Recent:
+    """The messages (us, speaker, words, root) that later ones may answer, indexed by speaker and word."""
+
+    def __init__(self, score: LinkScore):
+        self.score, self.reach = score, score.reach()
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: deque = deque()
+        self.last: OrderedDict = OrderedDict()  # speakers by their latest message
+        self.having: defaultdict = defaultdict(deque)
+
+    def add(self, message: tuple) -> None:
+        self.held.append(message)
+        self.last[message[1]] = message
+        self.last.move_to_end(message[1])
+        for w in message[2]:
+            self.having[w].append(message)
+
+    def forget(self, us: int) -> None:
+        """Drop what is out of the reach of a message at ``us``."""
+        while self.reach is not None and self.held and self.held[0][0] < us - self.reach:
+            old = self.held.popleft()
+            if self.last[old[1]] is old:
+                del self.last[old[1]]
+            for w in old[2]:
+                self.having[w].popleft()
+                if not self.having[w]:
+                    del self.having[w]
+
+    def likeliest(self, us: int, speaker: str | None, words: frozenset, named: set) -> tuple[float, tuple] | None:
+        """The best odds of all messages held and the latest message that has them, None if there is no message.
+
+        Of messages that share no word the latest of each speaker will do, and of speakers
+        that are neither named nor the same the latest one. Those that share words are
+        walked back word by word, the rarest first; a message without the words before
+        shares at most the ``left`` others, so once that can't beat the best at its time
+        no older one can.
+        """
+        score, short = self.score, len(words) < 3
+        best, found, judged = -math.inf, None, set()
+
+        def judge(m: tuple) -> None:
+            nonlocal best, found
+            if m[0] in judged:
+                return
+            judged.add(m[0])
+            s = score.of((us - m[0]) / 1e6, m[1] is not None and m[1] in named, _shared(words, m[2]), m[1] is not None and m[1] == speaker, short)
+            if s > best or (s == best and m[0] > found[0]):
+                best, found = s, m
+
+        def walk(messages: deque, most: float) -> None:
+            for m in reversed(messages):
+                if most + score.per_minute * ((us - m[0]) / 60e6) + 1e-9 < best:
+                    break
+                judge(m)
+
+        most = score.base + max(score.mention, 0.0) * bool(named) + max(score.same_speaker, 0.0) * (speaker is not None) + score.short * short
+        if score.overlap < 0:
+            walk(self.held, most)
+            return None if found is None else (best, found)
+        for who in {*named, speaker}:
+            if who in self.last:
+                judge(self.last[who])
+        for who in reversed(self.last):
+            if who not in named and who != speaker:
+                judge(self.last[who])
+                break
+        mine = sorted((w for w in words if w in self.having), key=lambda w: (len(self.having[w]), w))
+        for i, w in enumerate(mine):
+            left = len(mine) - i
+            walk(self.having[w], most + score.overlap * left / (1 + left))
+        return None if found is None else (best, found)
+
+
 def _link_stream(score: LinkScore, keep_text: bool):
     """Judge the messages of sorted buckets one after another, holding those within reach only."""
     s, i, x = pa.string(), pa.int64(), pa.bool_()
     types = {"channel_id": s, "us": i, "parent_us": i, "root_us": i, "link": s, "odds": pa.float64(), "speaker": s, "shown": x, "reply_count": pa.int32(), "gone": x} | ({"text": s} if keep_text else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, recent = None, deque()
+        held, recent = None, _Recent(score)
         for b in batches:
             out = []
             for channel, bucket, us, thread_us, speaker, text, judged, context, shown, replies, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -111,27 +197,19 @@ def _link_stream(score: LinkScore, keep_text: bool):
                 if held != (channel, bucket):
                     held = (channel, bucket)
                     recent.clear()
-                while recent and recent[0][0] < us - score.reach * 1_000_000:
-                    recent.popleft()
+                recent.forget(us)
                 words = frozenset(_WORD.findall(text.lower())) if text else frozenset()
                 root, parent, odds = us, None, None
                 if threaded:
                     root, parent = thread_us, None if thread_us == us else thread_us
-                elif judged and not context and recent:
-                    named = set(_MENTION.findall(text)) if text and "<@" in text else ()
-                    best = -math.inf
-                    for at, who, w, r in reversed(recent):
-                        shared = len(words & w) / (1 + min(len(words), len(w))) if words and w else 0.0
-                        s = score.of((us - at) / 1e6, who is not None and who in named, shared, who is not None and who == speaker, len(words) < 3)
-                        if s > best:
-                            best, parent, root = s, at, r
-                    odds = best
-                    if best < 0:
-                        root, parent = us, None
+                elif judged and not context:
+                    named = set(_MENTION.findall(text)) if text and "<@" in text else set()
+                    if (likeliest := recent.likeliest(us, speaker, words, named)) is not None:
+                        odds, m = likeliest
+                        if odds >= 0:
+                            parent, root = m[0], m[3]
                 if judged or threaded:
-                    recent.append((us, speaker, words, root))
-                    if len(recent) > score.candidates:
-                        recent.popleft()
+                    recent.add((us, speaker, words, root))
                 if not context:
                     link = "thread" if threaded else "judged" if parent is not None else "start"
                     out.append((channel, us, parent, root, link, odds, speaker, shown, replies, gone) + ((text,) if keep_text else ()))
@@ -147,70 +225,79 @@ def links(counting: DataFrame, score: LinkScore = LinkScore(), keep_text: bool =
     channel_id, us, parent_us, root_us, link ("thread", "judged" or "start"), odds and what
     an audit needs: speaker, shown (whether its text says anything), reply_count, gone.
     Deleted and system messages neither answer nor are answered, save in the thread they name.
+    A bucket is as wide as the reach at least; without a bound a channel is one bucket.
     """
-    if score.reach > BUCKET:
-        raise ValueError("messages out of a bucket's reach can't be judged")
-    wide = BUCKET * 1_000_000
-    bucket = F.floor(F.col("us") / F.lit(wide))
+    if score.per_minute > 0:
+        raise ValueError("links can't become likelier with time")
+    reach = score.reach()
+    wide = max(BUCKET * 1_000_000, reach or 0)
+    bucket = F.lit(0) if reach is None else (F.col("us") - F.pmod(F.col("us"), F.lit(wide))) / F.lit(wide)
     judged = ~F.col("gone") & ~F.coalesce(F.col("subtype").isin(*SYSTEM), F.lit(False))
     shown = ~F.coalesce("text", F.lit("")).rlike(BLANK)
-    m = counting.select("channel_id", bucket.alias("bucket"), "us", "thread_us", "speaker", "text", judged.alias("judged"), F.lit(False).alias("context"), shown.alias("shown"), F.col("reply_count").cast("int"), "gone")
-    copies = F.when(F.pmod(F.col("us"), F.lit(wide)) >= wide - score.reach * 1_000_000, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    both = m.withColumn("_copy", F.explode(copies)).withColumn("bucket", F.col("bucket") + F.col("_copy")).withColumn("context", F.col("_copy") == 1).drop("_copy")
-    ordered = both.repartition("channel_id", "bucket").sortWithinPartitions("channel_id", "bucket", "us")
+    m = counting.select("channel_id", bucket.cast("long").alias("bucket"), "us", "thread_us", "speaker", "text", judged.alias("judged"), F.lit(False).alias("context"), shown.alias("shown"), F.col("reply_count").cast("int"), "gone")
+    if reach is not None:
+        copies = F.when(F.pmod(F.col("us"), F.lit(wide)) >= wide - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        m = m.withColumn("_copy", F.explode(copies)).withColumn("bucket", F.col("bucket") + F.col("_copy")).withColumn("context", F.col("_copy") == 1).drop("_copy")
+    ordered = m.repartition("channel_id", "bucket").sortWithinPartitions("channel_id", "bucket", "us")
     schema = "channel_id string, us long, parent_us long, root_us long, link string, odds double, speaker string, shown boolean, reply_count int, gone boolean" + ", text string" * keep_text
     return ordered.mapInArrow(_link_stream(score, keep_text), schema)
 
 
 def _training_pairs(score: LinkScore):
-    """Of messages that name their thread: the features of the thread's last message before them (1) and of other threads' (0).
+    """Of messages that name their thread: the features of the thread's last message before them (1) and of other threads' (0), whatever the time between.
 
     The start of a thread answers nobody, so all messages before it are examples of no link.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, recent = None, deque(maxlen=score.candidates)
+        held, last = None, {}
         for pdf in batches:
             out = []
-            for channel, bucket, us, thread_us, speaker, text in pdf.itertuples(index=False, name=None):
-                if held != (channel, bucket):
-                    held = (channel, bucket)
-                    recent.clear()
+            for channel, us, thread_us, root, speaker, text in pdf.itertuples(index=False, name=None):
+                if held != channel:
+                    held = channel
+                    last.clear()
                 words = frozenset(_WORD.findall(text.lower())) if text else frozenset()
                 named = set(_MENTION.findall(text)) if text and "<@" in text else ()
-                threaded = thread_us is not None and thread_us == thread_us
-                root = int(thread_us) if threaded else us
-                if threaded:
-                    judged: set[int] = set()
-                    for at, who, w, r in reversed(recent):
-                        if us - at > score.reach * 1_000_000:
-                            break
-                        if r not in judged:
-                            judged.add(r)
-                            shared = len(words & w) / (1 + min(len(words), len(w))) if words and w else 0.0
-                            f = score.features((us - at) / 1e6, who is not None and who in named, shared, who is not None and who == speaker, len(words) < 3)
-                            out.append((float(r == root), list(f)))
-                recent.append((us, speaker, words, root))
+                if thread_us is not None and thread_us == thread_us:
+                    for r, (at, who, w) in last.items():
+                        f = score.features((us - at) / 1e6, who is not None and who in named, _shared(words, w), who is not None and who == speaker, len(words) < 3)
+                        out.append((float(r == root), list(f)))
+                last[root] = (us, speaker, words)
             yield pd.DataFrame(out, columns=["y", "x"])
 
     return run
 
 
 def fit_links(counting: DataFrame, score: LinkScore = LinkScore()) -> LinkScore:  # noqa: B008
-    """The weights that tell replies' own threads from others in their reach and starts from replies, drawn towards ``score`` where threads say little.
+    """The weights that tell replies' own threads from others before them and starts from replies, drawn towards ``score`` where threads say little.
 
-    Trained on threads as they are named, in at most TRAIN_BUCKETS buckets of channels
-    chosen by a hash, and at most TRAIN_PAIRS pairs of them.
+    Trained on whole threads, at most TRAIN_THREADS chosen by a hash, and at most
+    TRAIN_PAIRS pairs of messages, of which half may be links; messages outside threads are
+    threads of one. Choosing leaves out more of the other pairs than of the links, so the
+    base is moved back by the logarithm of the ratio. A weight of time above zero would
+    say nothing about how far a link reaches and is held at zero.
     """
-    bucket = F.floor(F.col("us") / F.lit(BUCKET * 1_000_000))
-    m = counting.where("NOT gone").select("channel_id", bucket.alias("bucket"), "us", "thread_us", "speaker", "text")
-    some = m.select("channel_id", "bucket").distinct().orderBy(F.xxhash64("channel_id", "bucket"), "channel_id", "bucket").limit(TRAIN_BUCKETS)
-    mine = m.join(F.broadcast(some), ["channel_id", "bucket"], "left_semi").repartition("channel_id", "bucket").sortWithinPartitions("channel_id", "bucket", "us")
-    pairs = mine.select("channel_id", "bucket", "us", "thread_us", "speaker", "text").mapInPandas(_training_pairs(score), "y double, x array<double>")
-    got = pairs.orderBy(F.xxhash64("x"), "x", "y").limit(TRAIN_PAIRS).collect()
-    if not got:
+    m = counting.where("NOT gone").select("channel_id", "us", "thread_us", F.coalesce("thread_us", "us").alias("root"), "speaker", "text")
+    roots = m.select("channel_id", "root").distinct()
+    some = roots.orderBy(F.xxhash64("channel_id", "root"), "channel_id", "root").limit(TRAIN_THREADS)
+    mine = m.join(F.broadcast(some), ["channel_id", "root"], "left_semi").repartition("channel_id").sortWithinPartitions("channel_id", "us")
+    pairs = cut(mine.select("channel_id", "us", "thread_us", "root", "speaker", "text").mapInPandas(_training_pairs(score), "y double, x array<double>"))
+    there = {r.y: r["n"] for r in pairs.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if not there:
         return score
-    w = logistic(np.array([r.x for r in got]), np.array([r.y for r in got]), 5.0, 40, np.array(score.weights()))
+    n_links = min(there.get(1.0, 0), TRAIN_PAIRS // 2)
+    n_rest = min(there.get(0.0, 0), TRAIN_PAIRS - n_links)
+    got = [r for y, n in ((1.0, n_links), (0.0, n_rest)) if n for r in pairs.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(n).collect()]
+    kept = min(1.0, TRAIN_THREADS / roots.count())
+    moved = math.log(kept * (n_rest / there[0.0] if n_rest else 1.0) / (n_links / there[1.0] if n_links else 1.0))
+    x, y, start = np.array([r.x for r in got]), np.array([r.y for r in got]), np.array(score.weights())
+    start[0] -= moved
+    w = logistic(x, y, 5.0, 40, start)
+    if w[1] > 0:
+        rest = [k for k in range(len(start)) if k != 1]
+        w = np.insert(logistic(x[:, rest], y, 5.0, 40, start[rest]), 1, 0.0)
+    w[0] += moved
     names = ("base", "per_minute", "mention", "overlap", "same_speaker", "short")
     return replace(score, **{k: float(v) for k, v in zip(names, w, strict=True)})
 

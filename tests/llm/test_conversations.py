@@ -126,3 +126,24 @@ def test_trained_on_far_replies(spark):
         rows += [{"ts": f"{a + 9_000}", "user_id": "C", "text": f"about alpha{i} beta{i} indeed", "thread_ts": f"{a}"}, {"ts": f"{b + 12_000}", "user_id": "D", "text": f"about delta{i} zeta{i} indeed", "thread_ts": f"{b}"}]
     s = fit_links(counting_messages(frame(spark, *rows)))
     assert s.of(9_000, False, 0.5, False, False) > 0 > s.of(9_000, False, 0.0, False, False)
+
+
+def test_blank_starts(spark):
+    m = frame(
+        spark,
+        {"ts": "100", "user_id": "UA", "text": "the parser fails with weird unicode input"}, {"ts": "130", "user_id": "UB", "text": "which unicode input fails the parser"},  # a judged talk
+        {"ts": "160", "user_id": "UC", "text": "<@UA> the parser fails with unicode input", "thread_ts": " "},  # starts a thread, though it seems to answer
+        {"ts": "190", "user_id": "UD", "text": "so it does", "thread_ts": "160"}, {"ts": "9000", "user_id": "UD", "text": "fixed", "thread_ts": "160.0"},
+        {"ts": "19100", "user_id": "UE", "text": "note to self"},  # named in another channel only
+        {"ts": "19200", "user_id": "UE", "channel_id": "D", "thread_ts": "19100"},
+    )
+    members = spark.createDataFrame([], "user_id string, username string, member_role string")
+    talks = {}
+    for r in conversations(m, members, LinkScore()).orderBy("conversation", "turn").collect():
+        talks.setdefault(r.conversation, []).append((r.ts, r.reply_to, r.link))
+    assert talks == {
+        "100.000000": [("100.000000", None, "start"), ("130.000000", "100.000000", "judged")],
+        "160.000000": [("160.000000", None, "thread"), ("190.000000", "160.000000", "thread"), ("9000.000000", "160.000000", "thread")],
+    }
+    t = {(r.channel_id, r.us // 1_000_000): (r.root_us // 1_000_000, r.link) for r in trees(links(counting_messages(m))).collect()}
+    assert t["C", 160] == (160, "thread") and t["C", 19100] == (19100, "start")

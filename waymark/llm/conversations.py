@@ -104,6 +104,16 @@ def counting_messages(messages: DataFrame) -> DataFrame:
     return best.withColumn("gone", F.coalesce(F.col("subtype").isin(*GONE), F.lit(False)))
 
 
+def with_starts(counting: DataFrame) -> DataFrame:
+    """``counting`` with messages that some row of their channel names as its thread, and that name none, naming themselves.
+
+    So the start of a thread is never judged, and stays in one tree with its replies.
+    """
+    named = counting.where("thread_us IS NOT NULL").select(F.col("channel_id").alias("_nc"), F.col("thread_us").alias("_nt")).distinct()
+    out = counting.join(named, (F.col("channel_id") == F.col("_nc")) & (F.col("us") == F.col("_nt")), "left")
+    return out.withColumn("thread_us", F.coalesce("thread_us", "_nt")).drop("_nc", "_nt")
+
+
 def _shared(a: frozenset, b: frozenset) -> float:
     return len(a & b) / (1 + min(len(a), len(b))) if a and b else 0.0
 
@@ -225,6 +235,7 @@ def links(counting: DataFrame, score: LinkScore = LinkScore(), keep_text: bool =
     channel_id, us, parent_us, root_us, link ("thread", "judged" or "start"), odds and what
     an audit needs: speaker, shown (whether its text says anything), reply_count, gone.
     Deleted and system messages neither answer nor are answered, save in the thread they name.
+    A message that others name as their thread starts it, whether or not it says so itself.
     A bucket is as wide as the reach at least; without a bound a channel is one bucket.
     """
     if score.per_minute > 0:
@@ -234,7 +245,7 @@ def links(counting: DataFrame, score: LinkScore = LinkScore(), keep_text: bool =
     bucket = F.lit(0) if reach is None else (F.col("us") - F.pmod(F.col("us"), F.lit(wide))) / F.lit(wide)
     judged = ~F.col("gone") & ~F.coalesce(F.col("subtype").isin(*SYSTEM), F.lit(False))
     shown = ~F.coalesce("text", F.lit("")).rlike(BLANK)
-    m = counting.select("channel_id", bucket.cast("long").alias("bucket"), "us", "thread_us", "speaker", "text", judged.alias("judged"), F.lit(False).alias("context"), shown.alias("shown"), F.col("reply_count").cast("int"), "gone")
+    m = with_starts(counting).select("channel_id", bucket.cast("long").alias("bucket"), "us", "thread_us", "speaker", "text", judged.alias("judged"), F.lit(False).alias("context"), shown.alias("shown"), F.col("reply_count").cast("int"), "gone")
     if reach is not None:
         copies = F.when(F.pmod(F.col("us"), F.lit(wide)) >= wide - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
         m = m.withColumn("_copy", F.explode(copies)).withColumn("bucket", F.col("bucket") + F.col("_copy")).withColumn("context", F.col("_copy") == 1).drop("_copy")
@@ -278,7 +289,7 @@ def fit_links(counting: DataFrame, score: LinkScore = LinkScore()) -> LinkScore:
     base is moved back by the logarithm of the ratio. A weight of time above zero would
     say nothing about how far a link reaches and is held at zero.
     """
-    m = counting.where("NOT gone").select("channel_id", "us", "thread_us", F.coalesce("thread_us", "us").alias("root"), "speaker", "text")
+    m = with_starts(counting).where("NOT gone").select("channel_id", "us", "thread_us", F.coalesce("thread_us", "us").alias("root"), "speaker", "text")
     roots = m.select("channel_id", "root").distinct()
     some = roots.orderBy(F.xxhash64("channel_id", "root"), "channel_id", "root").limit(TRAIN_THREADS)
     mine = m.join(F.broadcast(some), ["channel_id", "root"], "left_semi").repartition("channel_id").sortWithinPartitions("channel_id", "us")
@@ -364,7 +375,7 @@ def conversations(messages: DataFrame, members: DataFrame, score: LinkScore | No
     threads and trees with one speaker or no text. Deleted messages are no turns. Without
     a ``score`` one is trained on the threads there are.
     """
-    counting = counting_messages(messages)
+    counting = cut(counting_messages(messages))
     whole = cut(trees(links(counting, score or fit_links(counting), keep_text=True)))
     bad = audit(whole).where(BROKEN).select(F.col("channel_id").alias("_bc"), F.col("root_us").alias("_br"))
     turns = whole.where("NOT gone").join(bad, (F.col("channel_id") == F.col("_bc")) & (F.col("root_us") == F.col("_br")), "left_anti")

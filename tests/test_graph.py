@@ -45,6 +45,29 @@ def test_central(spark):
     assert graph.pagerank(edges(spark), 3).isEmpty()
 
 
+def test_pagerank_production_run(spark, monkeypatch):
+    from waymark.plans import index_queries
+
+    pairs = [(i, i + 1) for i in range(12)] + [(i, i + 1) for i in range(20, 32)] + [(12, 0), (5, 0), (5, 0), (32, 5), (40, 41)]  # far from its limit after 5 iterations
+    nodes = sorted({x for p in pairs for x in p})
+    out = {x: [b for a, b in pairs if a == x] for x in nodes}
+    score = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(100):
+        loose = sum(score[x] for x in nodes if not out[x])
+        got = dict.fromkeys(nodes, 0.0)
+        for x in nodes:
+            for y in out[x]:
+                got[y] += score[x] / len(out[x])
+        score = {x: 0.15 / len(nodes) + 0.85 * (got[x] + loose / len(nodes)) for x in nodes}
+    e = edges(spark, *pairs)
+    monkeypatch.setattr(index_queries, "_edges", lambda spark, d: e)
+    ranks = {r.doc_id: r.score for r in index_queries.INDEX.queries["pagerank"](spark, "").collect()}
+    assert ranks == pytest.approx(score, abs=1e-12)
+    assert max(abs(r.score - score[r.doc_id]) for r in graph.pagerank(e, 5).collect()) > 1e-3
+    top = index_queries.INDEX.queries["central_pagerank"](spark, "").collect()
+    assert [r.doc_id for r in top] == sorted(nodes, key=lambda x: (-ranks[x], x))[:10]
+
+
 def test_edges_and_filters(spark):
     rows = [(1, 2, "reference", "a", 1.0, None, 1), (1, 2, "reference", "a", 2.0, None, 5), (1, 2, "reference", "a", 2.0, None, 5), (1, 2, "workflow", "b", None, None, 1), (2, 2, "reference", "a", 1.0, None, 1), (None, 3, "reference", "a", 1.0, None, 1)]
     e = graph.distinct_edges(spark.createDataFrame(rows, SCHEMA))

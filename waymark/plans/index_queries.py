@@ -461,6 +461,17 @@ def pagerank_5(spark, d):
     return graph.pagerank(_edges(spark, d), 5).select("doc_id", F.round("score", 9).alias("score"))
 
 
+@INDEX.add("pagerank")
+def pagerank(spark, d):
+    """The production run: 100 iterations; pagerank_5 only checks the steps against SQL."""
+    return graph.pagerank(_edges(spark, d))
+
+
+@INDEX.add("central_pagerank")
+def central_pagerank(spark, d):
+    return graph.central(_edges(spark, d), "pagerank", 10)
+
+
 _PENDING_SQL = r"""p AS (SELECT from_id, target_ref, kind, min(created_at) AS created_at FROM doc_links_pending WHERE from_id IS NOT NULL AND target_ref IS NOT NULL AND kind IS NOT NULL GROUP BY ALL),
 stems AS (SELECT regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem, min(doc_id) AS doc_id FROM documents GROUP BY ALL),
 resolved AS (SELECT p.*, coalesce(d.doc_id, s.doc_id) AS to_id FROM p LEFT JOIN documents d ON d.file_path = p.target_ref LEFT JOIN stems s ON s.stem = p.target_ref)"""

@@ -1,10 +1,14 @@
+import itertools
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from waymark.llm.pii import EVIDENCE, Field, find_and_mask, fit_field, generated, label_texts, mask, propagate, pseudo_likelihood, build_graph, spans
+from waymark.llm import pii
+from waymark.llm.pii import NAME, TYPES, Field, find_and_mask, fit_field, label_texts, mask, propagate, sample_texts
 
+DATA = "/root/testdata/sf0.01/slack_messages.parquet"
 CASES = {
     "write to anna_3@mail.example now": {"email"}, "x+alerts @ desk.invalid bounced": {"email"}, "o_65 [at] corp [dot] example": {"email"}, "m.day (at) example.net": {"email"}, "<mailto:a@b.example|a@b.example>": {"email"},
     "git@code.invalid:desk/raven.git": set(), "pkg@1.2.5 broke": set(), "ping @orchid.almanac130": set(),
@@ -17,59 +21,129 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("text", CASES)
-def test_types(text):
-    assert {t for _, _, t in label_texts([text])[0]} == CASES[text]
+#: Names and forms that neither the lists nor the test tables hold.
+STRANGE = {
+    "Kwame Boateng will call": {"person_name"}, "Siobhan O'Reilly": {"person_name"}, "cc Nguyen Thi Mai": {"person_name"}, "Aoife Byrne joined": {"person_name"}, "ring 07700 900123": {"phone"}, "phone 415 555 2671": {"phone"},
+    "we live at 1600 Pennsylvania Avenue NW, Washington, DC 20500": {"address"}, "IBAN DE89 3704 0044 0532 0130 00": set(), "later Nambiar came": set(), "Team Walnut and Team Copper agreed": set(), "see the Saffron Copper page": set(),
+}
 
 
-def test_mask_and_skip_chain():
-    t = "Priya Wexmere called. Later zelda Wexmere wrote to p@x.example from Fichtenweg 3, 00427 Valmorin."
-    found = label_texts([t])[0]
-    assert mask(t, found).startswith("[PERSON_NAME] called.") and "[EMAIL]" in mask(t, found) and "[ADDRESS]." in mask(t, found)
-    unary = np.array([[1.0, 3.0], [1.0, 0.9]])
-    one = propagate(unary, np.array([0]), np.array([1]), np.array([[1.5, 0.0]]))
-    assert one[1].argmax() == 1 and propagate(unary, np.array([], int), np.array([], int), np.zeros((0, 2)))[1].argmax() == 0  # the sure one carries the other
+@pytest.fixture(scope="module")
+def texts():
+    return sorted({t for t in pq.read_table(DATA, columns=["text"])["text"].to_pylist() if t and t.strip()})
+
+
+@pytest.fixture(scope="module")
+def field(texts):
+    return fit_field(texts[: pii.SAMPLE])
 
 
-def test_long_and_repeated():
-    t = ("plain words 12345 and Some Names here, " * 3000) + "mail a@b.example"
-    assert [x[2] for x in label_texts([t])[0]] == ["email"]
-    assert label_texts([]) == [] and label_texts(["", "x@y.example"])[1]
+@pytest.mark.parametrize("text", CASES | STRANGE)
+def test_types(text, field):
+    assert {t for _, _, t in label_texts([text], field)[0]} == (CASES | STRANGE)[text]
 
 
-def test_frame(spark):
+def test_a_second_mention_is_known_by_the_first(field):
+    text = "Priya Nambiar said ok. later Nambiar came"
+    assert mask(text, label_texts([text], field)[0]) == "[PERSON_NAME] said ok. later [PERSON_NAME] came"
+    apart = field.without_edges(pii.REPEATED, pii.ALIKE)
+    assert mask(text, label_texts([text], apart)[0]) == "[PERSON_NAME] said ok. later Nambiar came"
+
+
+def test_mask(field):
+    t = "Priya Wexmere called. Later zelda Wexmere wrote to p@x.example from Fichtenweg 3, 00427 Valmorin."
+    got = mask(t, label_texts([t], field)[0])
+    assert got.startswith("[PERSON_NAME] called.") and "[EMAIL]" in got and got.endswith("[ADDRESS].")
+
+
+def recall(examples, field):
+    """Share of the words of names, and of words found that are of one, in texts with known places."""
+    v = pii.Vocabulary()
+    g = pii.build_graph([t for t, _ in examples], v)
+    gold = pii.gold_labels(g, [m for _, m in examples])
+    found = pii.gold_labels(g, [[(a, b, TYPES.index(t) + 1) for a, b, t in x] for x in label_texts([t for t, _ in examples], field)])
+    word = np.array([w[0].isalpha() for w in v.number])[g.ids]
+    both = ((gold == NAME) & (found == NAME) & word).sum()
+    return both / ((gold == NAME) & word).sum(), both / ((found == NAME) & word).sum()
+
+
+def test_edges_matter_on_held_out_texts(texts, field):
+    rng = random.Random(991)
+    made = pii._Made(rng, ["garden", "cabinet", "violet", "harvest", "meadow", "lantern", "copperplate"])
+    plain = [t for t in texts[pii.SAMPLE :] if not pii.rule_labels(t)]
+    examples = []
+    for t in plain[:1200]:
+        piece, spans = (made.decoy(), []) if rng.random() < 0.4 else made.personal()
+        examples.append((f"{t}. {piece}", [(a + len(t) + 2, b + len(t) + 2, k) for a, b, k in spans]))
+    whole, sure = recall(examples, field)
+    assert whole > 0.97 and sure > 0.97
+    assert recall(examples, field.without_edges())[0] < whole - 0.03 and recall(examples, field.without_edges(pii.REPEATED, pii.ALIKE))[0] < whole - 0.015
+
+
+def test_agreement_with_rules_where_rules_are_sure(texts, field):
+    """On whole messages the field finds what the labelling rules mark, and little else."""
+    both = more = less = 0
+    for t, found in zip(texts, label_texts(texts, field), strict=True):
+        got, marked = {k for _, _, k in found}, {TYPES[k - 1] for _, _, k in pii.rule_labels(t)}
+        both, more, less = both + len(got & marked), more + len(got - marked), less + len(marked - got)
+    assert both > 300 and more <= 0.02 * both and less <= 0.02 * both
+
+
+def test_gate_changes_nothing(texts, field, monkeypatch):
+    some = texts[:1500]
+    want = label_texts(some, field)
+    monkeypatch.setattr(pii, "SURE", 1e9)
+    assert label_texts(some, field) == want
+
+
+def test_messages_are_exact_on_a_tree():
+    rng = np.random.RandomState(3)
+    unary = rng.normal(size=(6, 4)).astype(np.float64)
+    edges = rng.normal(size=(5, 6, 6))
+    a, b, kind = np.array([0, 1, 1]), np.array([1, 2, 3]), np.array([0, 1, 3])
+    belief, _ = propagate(unary, a, b, kind, edges, 6)
+    got = np.exp(belief - belief.max(0))
+    got /= got.sum(0)
+    want = np.zeros((6, 4))
+    for labels in itertools.product(range(6), repeat=4):
+        w = np.exp(sum(unary[x, i] for i, x in enumerate(labels)) + sum(edges[k, labels[i], labels[j]] for i, j, k in zip(a, b, kind)))
+        for i, x in enumerate(labels):
+            want[x, i] += w
+    assert np.allclose(got, want / want.sum(0), atol=1e-4)
+
+
+def test_long_repeated_and_empty(field):
+    t = ("plain words 12345 and nothing of the kind here, " * 3000) + "mail a@b.example"
+    assert [x[2] for x in label_texts([t], field)[0]] == ["email"]
+    assert label_texts([], field) == [] and label_texts(["", "   ", "x@y.example"], field)[2]
+    assert label_texts(["", " "], field) == [[], []]
+
+
+def test_frame(spark, field):
     rows = [(1, "a@b.example and a@c.example", "q"), (2, None, None), (3, "", "q"), (1, "a@b.example and a@c.example", "q")]
     df = spark.createDataFrame(rows, "msg_id long, text string, masked string")
-    got = sorted(((r.msg_id, r.masked, r.pii_types) for r in find_and_mask(df, ["msg_id"]).collect()), key=str)
-    assert got == [(1, "[EMAIL] and [EMAIL]", ["email"])] * 2 + [(2, None, []), (3, "", [])] and find_and_mask(df.limit(0), ["msg_id"]).isEmpty()
-
-
-def test_trained_field():
-    plain = [f"we moved the {a} to next {b}" for a in "lamp table window folder pencil".split() for b in "week month year".split()] * 60
-    f = fit_field(plain)
-    assert len(f.evidence) == len(EVIDENCE) and f.evidence[list(EVIDENCE).index("email")] > 3 > f.evidence[list(EVIDENCE).index("id_loose")]
-    rng = random.Random(99)
-    right = total = wrong = 0
-    for _ in range(600):  # pieces that training didn't see
-        piece, kind = generated(rng)
-        got = {t for _, _, t in label_texts([f"we moved on, {piece}"], f)[0]}
-        total += kind is not None
-        right += kind in got
-        wrong += bool(got - {kind})
-    assert right > 0.95 * total and wrong < 0.03 * 600
-    for text, want in CASES.items():
-        assert {t for _, _, t in label_texts([text], f)[0]} == want, text
-    assert fit_field([]).evidence and fit_field(["", None, "x"]).evidence
-
-
-def test_pseudo_likelihood():
-    text = "cc Priya Wexmere"
-    g = build_graph([text], [spans(text)], Field())
-    gold = np.array([0, 5, 5])
-    assert pseudo_likelihood(g, gold, Field()) > pseudo_likelihood(g, np.array([0, 1, 2]), Field())
-
-
-def test_keys_are_kept(spark):
+    got = sorted(((r.msg_id, r.masked, r.pii_types) for r in find_and_mask(df, ["msg_id"], field=field).collect()), key=str)
+    assert got == [(1, "[EMAIL] and [EMAIL]", ["email"])] * 2 + [(2, None, []), (3, "", [])]
+    assert find_and_mask(df.limit(0), ["msg_id"]).isEmpty() and find_and_mask(df.where("text IS NULL"), ["msg_id"]).count() == 1
+
+
+def test_sample(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts[:400] for _ in range(3)] + [("the same",)] * 2000 + [(None,), ("",)], "text string")
+    got = sample_texts(df, most=100)
+    assert len(got) == len(set(got)) == 100 and got == sample_texts(df.repartition(3), most=100)
+    assert set(sample_texts(df, most=10_000)) == {*texts[:400], "the same"} and sample_texts(df.limit(0)) == []
+
+
+def test_little_to_train_on():
+    f = fit_field(["we moved the lamp to next week", "thanks"] * 30, steps=5)
+    assert label_texts(["mail a@b.example"], f)[0] and fit_field([], steps=2).features
+
+
+def test_keys_are_kept(spark, field):
     big = 2**60 + 1
     df = spark.createDataFrame([(big, "a@b.example"), (None, "a@b.example")], "msg_id long, text string")
-    assert {r.msg_id for r in find_and_mask(df, ["msg_id"], field=Field()).collect()} == {big, None}
+    assert {r.msg_id for r in find_and_mask(df, ["msg_id"], field=field).collect()} == {big, None}
+
+
+def test_a_field_without_weights_finds_nothing():
+    assert label_texts(["mail a@b.example"], Field()) == [[]]

@@ -2,9 +2,10 @@
 
 Of every message the row received last counts. Every message gets one parent: the start
 of its thread if it names one, else the likeliest of the messages before it in its
-channel, judged by the time between, mentions and shared words, or none. The links form
-trees, and each tree is a conversation. How far back a link may go follows from the
-weights: beyond ``LinkScore.reach`` no message can have even odds. Channels are cut into
+channel, judged by the time between (in minutes and by the channel's pace), mentions,
+shared words and who speaks, or none. The links form trees, and each tree is a
+conversation. The weights are trained on the threads that messages name. How far back a
+link may go follows from them: beyond ``LinkScore.reach`` no message can have even odds. Channels are cut into
 time buckets that repeat that much of the bucket before, so a channel with a third of
 all messages is spread over tasks and no task holds more than the messages within reach
 of one.
@@ -43,38 +44,54 @@ _WORD = re.compile(r"[^\W_]{3,}")
 class LinkScore:
     """Log odds that a message answers another.
 
-    Messages of at most two words ("on it") are more likely answers. A link is made where
-    the odds are at least even; of equal ones the later parent wins. ``per_minute`` must
-    not be above zero.
+    Time counts by its logarithm, in minutes and in multiples of the channel's pace (its
+    mean gap between messages). Messages of at most two words ("on it") are more likely
+    answers. A link is made where the odds are at least even; of equal ones the later
+    parent wins. Neither weight of time may be above zero.
     """
 
     base: float = -0.4
-    per_minute: float = -0.25
+    per_time: float = -0.5
+    per_pace: float = -0.2
     mention: float = 3.0
     overlap: float = 4.0
-    same_speaker: float = -0.8
-    short: float = 0.9
+    same_speaker: float = 0.5
+    short: float = 0.3
 
-    def reach(self) -> int | None:
+    def weights(self) -> tuple[float, ...]:
+        return (self.base, self.per_time, self.per_pace, self.mention, self.overlap, self.same_speaker, self.short)
+
+    def time(self, gap: float, pace: float) -> float:
+        """What ``gap`` seconds take from the odds in a channel with a message every ``pace`` seconds."""
+        return self.per_time * math.log1p(gap / 60) + self.per_pace * math.log1p(gap / pace)
+
+    def most(self) -> float:
+        """The odds where all that can speak for a link does, with no time between."""
+        return self.base + sum(max(w, 0.0) for w in (self.mention, self.overlap, self.same_speaker, self.short))
+
+    def reach(self, pace: float) -> int | None:
         """Microseconds beyond which even all that speaks for a link leaves the odds below even; None without such a bound."""
-        most = self.base + sum(max(w, 0.0) for w in (self.mention, self.overlap, self.same_speaker, self.short))
+        most = self.most()
         if most < 0:
             return 0
-        return math.ceil(most / -self.per_minute * 60_000_000) if self.per_minute < 0 else None
+        if most + self.time(1e12, pace) >= 0:
+            return None
+        low, high = 0.0, 1e12
+        while high - low > max(1.0, 1e-3 * high):
+            mid = math.sqrt(max(low, 1.0) * high) if high > 4 * max(low, 1.0) else (low + high) / 2
+            low, high = (mid, high) if most + self.time(mid, pace) >= 0 else (low, mid)
+        return math.ceil(high * 1e6)
 
-    def of(self, gap: float, mentioned: bool, shared: float, same: bool, short: bool) -> float:
-        return sum(w * x for w, x in zip(self.weights(), self.features(gap, mentioned, shared, same, short), strict=True))
-
-    def weights(self) -> tuple[float, ...]:
-        return (self.base, self.per_minute, self.mention, self.overlap, self.same_speaker, self.short)
+    def of(self, gap: float, pace: float, mentioned: bool, shared: float, same: bool, short: bool) -> float:
+        return sum(w * x for w, x in zip(self.weights(), self.features(gap, pace, mentioned, shared, same, short), strict=True))
 
     @staticmethod
-    def features(gap: float, mentioned: bool, shared: float, same: bool, short: bool) -> tuple[float, ...]:
-        return (1.0, gap / 60, float(mentioned), shared, float(same), float(short))
+    def features(gap: float, pace: float, mentioned: bool, shared: float, same: bool, short: bool) -> tuple[float, ...]:
+        return (1.0, math.log1p(gap / 60), math.log1p(gap / pace), float(mentioned), shared, float(same), float(short))
 
 
-#: Seconds of a channel in one bucket at least; threads and pairs that link weights are trained on at most.
-BUCKET, TRAIN_THREADS, TRAIN_PAIRS = 21_600, 2_000, 20_000
+#: Seconds of a channel in one bucket at least, and reaches; seconds of a stretch of a channel that is trained on whole; messages and pairs that link weights are trained on at most; threads beside its own that a message is told from.
+BUCKET, REACHES, STRETCH, TRAIN_MESSAGES, TRAIN_PAIRS, RIVALS = 21_600, 4, 1_209_600, 20_000, 60_000, 3
 
 
 def micros(ts: Column) -> Column:
@@ -114,6 +131,13 @@ def with_starts(counting: DataFrame) -> DataFrame:
     return out.withColumn("thread_us", F.coalesce("thread_us", "_nt")).drop("_nc", "_nt")
 
 
+def with_pace(counting: DataFrame) -> DataFrame:
+    """``counting`` with pace, the mean seconds between the messages of its channel (a day in a channel of one)."""
+    span = (F.max("us") - F.min("us")) / F.lit(1e6)
+    pace = counting.groupBy(F.col("channel_id").alias("_pc")).agg(F.when(span > 0, F.greatest(span / F.count("*"), F.lit(1e-3))).otherwise(86_400.0).alias("pace"))
+    return counting.join(pace, F.col("channel_id") == F.col("_pc")).drop("_pc")
+
+
 def _shared(a: frozenset, b: frozenset) -> float:
     return len(a & b) / (1 + min(len(a), len(b))) if a and b else 0.0
 
@@ -122,10 +146,12 @@ class _Recent:
     """The messages (us, speaker, words, root) that later ones may answer, indexed by speaker and word."""
 
     def __init__(self, score: LinkScore):
-        self.score, self.reach = score, score.reach()
-        self.clear()
+        self.score = score
+        self.clear(86_400.0)
 
-    def clear(self) -> None:
+    def clear(self, pace: float) -> None:
+        """Begin a channel, or a bucket of one, of this pace."""
+        self.pace, self.reach = pace, self.score.reach(pace)
         self.held: deque = deque()
         self.last: OrderedDict = OrderedDict()  # speakers by their latest message
         self.having: defaultdict = defaultdict(deque)
@@ -165,13 +191,13 @@ class _Recent:
             if m[0] in judged:
                 return
             judged.add(m[0])
-            s = score.of((us - m[0]) / 1e6, m[1] is not None and m[1] in named, _shared(words, m[2]), m[1] is not None and m[1] == speaker, short)
+            s = score.of((us - m[0]) / 1e6, self.pace, m[1] is not None and m[1] in named, _shared(words, m[2]), m[1] is not None and m[1] == speaker, short)
             if s > best or (s == best and m[0] > found[0]):
                 best, found = s, m
 
         def walk(messages: deque, most: float) -> None:
             for m in reversed(messages):
-                if most + score.per_minute * ((us - m[0]) / 60e6) + 1e-9 < best:
+                if most + score.time((us - m[0]) / 1e6, self.pace) + 1e-9 < best:
                     break
                 judge(m)
 
@@ -202,11 +228,11 @@ def _link_stream(score: LinkScore, keep_text: bool):
         held, recent = None, _Recent(score)
         for b in batches:
             out = []
-            for channel, bucket, us, thread_us, speaker, text, judged, context, shown, replies, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for channel, bucket, us, thread_us, speaker, text, judged, context, shown, replies, gone, pace in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 threaded = thread_us is not None
                 if held != (channel, bucket):
                     held = (channel, bucket)
-                    recent.clear()
+                    recent.clear(pace)
                 recent.forget(us)
                 words = frozenset(_WORD.findall(text.lower())) if text else frozenset()
                 root, parent, odds = us, None, None
@@ -229,87 +255,98 @@ def _link_stream(score: LinkScore, keep_text: bool):
     return run
 
 
-def links(counting: DataFrame, score: LinkScore = LinkScore(), keep_text: bool = False) -> DataFrame:  # noqa: B008
-    """Every counting message with its parent and the root that its bucket knows of.
+def _reaches(score: LinkScore):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(reach=pd.array([score.reach(p) for p in pdf.pace], dtype="Int64"))
+
+    return run
+
+
+def links(starts: DataFrame, score: LinkScore = LinkScore(), keep_text: bool = False) -> DataFrame:  # noqa: B008
+    """Every counting message (``with_starts``, ``with_pace``) with its parent and the root that its bucket knows of.
 
     channel_id, us, parent_us, root_us, link ("thread", "judged" or "start"), odds and what
     an audit needs: speaker, shown (whether its text says anything), reply_count, gone.
     Deleted and system messages neither answer nor are answered, save in the thread they name.
     A message that others name as their thread starts it, whether or not it says so itself.
-    A bucket is as wide as the reach at least; without a bound a channel is one bucket.
+    A bucket is several times as wide as the reach of its channel; without a bound a channel is one bucket.
     """
-    if score.per_minute > 0:
+    if score.per_time > 0 or score.per_pace > 0:
         raise ValueError("links can't become likelier with time")
-    reach = score.reach()
-    wide = max(BUCKET * 1_000_000, reach or 0)
-    bucket = F.lit(0) if reach is None else (F.col("us") - F.pmod(F.col("us"), F.lit(wide))) / F.lit(wide)
+    reach = starts.select(F.col("channel_id").alias("_rc"), "pace").distinct().mapInPandas(_reaches(score), "_rc string, pace double, reach long").drop("pace")
+    m = starts.join(reach, F.col("channel_id") == F.col("_rc"))
+    wide = F.greatest(F.lit(BUCKET * 1_000_000), F.col("reach") * REACHES)
+    bucket = F.when(F.col("reach").isNull(), F.lit(0)).otherwise(F.floor(F.col("us") / wide))
     judged = ~F.col("gone") & ~F.coalesce(F.col("subtype").isin(*SYSTEM), F.lit(False))
     shown = ~F.coalesce("text", F.lit("")).rlike(BLANK)
-    m = with_starts(counting).select("channel_id", bucket.cast("long").alias("bucket"), "us", "thread_us", "speaker", "text", judged.alias("judged"), F.lit(False).alias("context"), shown.alias("shown"), F.col("reply_count").cast("int"), "gone")
-    if reach is not None:
-        copies = F.when(F.pmod(F.col("us"), F.lit(wide)) >= wide - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        m = m.withColumn("_copy", F.explode(copies)).withColumn("bucket", F.col("bucket") + F.col("_copy")).withColumn("context", F.col("_copy") == 1).drop("_copy")
+    again = F.col("reach").isNotNull() & (F.pmod(F.col("us"), wide) >= wide - F.col("reach"))  # in reach of the next bucket
+    m = m.select(
+        "channel_id", bucket.cast("long").alias("bucket"), "us", "thread_us", "speaker", "text", judged.alias("judged"), shown.alias("shown"), F.col("reply_count").cast("int").alias("reply_count"), "gone", "pace",
+        F.explode(F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"),
+    )
+    m = m.select("channel_id", (F.col("bucket") + F.col("_copy")).alias("bucket"), "us", "thread_us", "speaker", "text", "judged", (F.col("_copy") == 1).alias("context"), "shown", "reply_count", "gone", "pace")
     ordered = m.repartition("channel_id", "bucket").sortWithinPartitions("channel_id", "bucket", "us")
     schema = "channel_id string, us long, parent_us long, root_us long, link string, odds double, speaker string, shown boolean, reply_count int, gone boolean" + ", text string" * keep_text
     return ordered.mapInArrow(_link_stream(score, keep_text), schema)
 
 
 def _training_pairs(score: LinkScore):
-    """Of messages that name their thread: the features of the thread's last message before them (1) and of other threads' (0), whatever the time between.
+    """Of messages in whole stretches of channels: the features of the last message of their own thread (1) and of the threads spoken in last (0).
 
-    The start of a thread answers nobody, so all messages before it are examples of no link.
+    The start of a thread, and a message outside threads, answers nobody, so all before it are examples of no link.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, last = None, {}
+        held, last = None, OrderedDict()
         for pdf in batches:
             out = []
-            for channel, us, thread_us, root, speaker, text in pdf.itertuples(index=False, name=None):
-                if held != channel:
-                    held = channel
+            for channel, stretch, us, root, speaker, text, pace in pdf.itertuples(index=False, name=None):
+                if held != (channel, stretch):
+                    held = (channel, stretch)
                     last.clear()
                 words = frozenset(_WORD.findall(text.lower())) if text else frozenset()
                 named = set(_MENTION.findall(text)) if text and "<@" in text else ()
-                if thread_us is not None and thread_us == thread_us:
-                    for r, (at, who, w) in last.items():
-                        f = score.features((us - at) / 1e6, who is not None and who in named, _shared(words, w), who is not None and who == speaker, len(words) < 3)
-                        out.append((float(r == root), list(f)))
+                rivals = [r for r, _ in zip((r for r in reversed(last) if r != root), range(RIVALS))]
+                for r in [*([root] if root in last else []), *rivals]:
+                    at, who, w = last[r]
+                    f = score.features((us - at) / 1e6, pace, who is not None and who in named, _shared(words, w), who is not None and who == speaker, len(words) < 3)
+                    out.append((float(r == root), list(f)))
                 last[root] = (us, speaker, words)
+                last.move_to_end(root)
             yield pd.DataFrame(out, columns=["y", "x"])
 
     return run
 
 
-def fit_links(counting: DataFrame, score: LinkScore = LinkScore()) -> LinkScore:  # noqa: B008
-    """The weights that tell replies' own threads from others before them and starts from replies, drawn towards ``score`` where threads say little.
+def fit_links(starts: DataFrame, score: LinkScore = LinkScore()) -> LinkScore:  # noqa: B008
+    """The weights that tell a message's own thread from others before it and starts from replies, drawn towards ``score`` where threads say little.
 
-    Trained on whole threads, at most TRAIN_THREADS chosen by a hash, and at most
-    TRAIN_PAIRS pairs of messages, of which half may be links; messages outside threads are
-    threads of one. Choosing leaves out more of the other pairs than of the links, so the
-    base is moved back by the logarithm of the ratio. A weight of time above zero would
-    say nothing about how far a link reaches and is held at zero.
+    ``starts`` as ``links`` takes it. Trained on whole stretches of channels with about
+    TRAIN_MESSAGES messages, chosen by a hash of channel and time, and on at most
+    TRAIN_PAIRS pairs; nothing else is left out between a message and what came before it, so no base has to
+    be moved. Weights of time above zero would say nothing about how far a link reaches
+    and are held at zero.
     """
-    m = with_starts(counting).where("NOT gone").select("channel_id", "us", "thread_us", F.coalesce("thread_us", "us").alias("root"), "speaker", "text")
-    roots = m.select("channel_id", "root").distinct()
-    some = roots.orderBy(F.xxhash64("channel_id", "root"), "channel_id", "root").limit(TRAIN_THREADS)
-    mine = m.join(F.broadcast(some), ["channel_id", "root"], "left_semi").repartition("channel_id").sortWithinPartitions("channel_id", "us")
-    pairs = cut(mine.select("channel_id", "us", "thread_us", "root", "speaker", "text").mapInPandas(_training_pairs(score), "y double, x array<double>"))
-    there = {r.y: r["n"] for r in pairs.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if not there:
+    stretch = F.floor(F.col("us") / F.lit(STRETCH * 1_000_000))
+    share = min(1.0, TRAIN_MESSAGES / max(starts.count(), 1))
+    some = starts.where("NOT gone").where(F.pmod(F.xxhash64("channel_id", stretch), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = some.select("channel_id", stretch.alias("stretch"), "us", F.coalesce("thread_us", "us").alias("root"), "speaker", "text", "pace")
+    rows = rows.repartition("channel_id", "stretch").sortWithinPartitions("channel_id", "stretch", "us")
+    pairs = rows.mapInPandas(_training_pairs(score), "y double, x array<double>")
+    got = pairs.orderBy(F.xxhash64("x", "y"), "x", "y").limit(TRAIN_PAIRS).collect()
+    if not got:
         return score
-    n_links = min(there.get(1.0, 0), TRAIN_PAIRS // 2)
-    n_rest = min(there.get(0.0, 0), TRAIN_PAIRS - n_links)
-    got = [r for y, n in ((1.0, n_links), (0.0, n_rest)) if n for r in pairs.where(F.col("y") == y).orderBy(F.xxhash64("x"), "x").limit(n).collect()]
-    kept = min(1.0, TRAIN_THREADS / roots.count())
-    moved = math.log(kept * (n_rest / there[0.0] if n_rest else 1.0) / (n_links / there[1.0] if n_links else 1.0))
     x, y, start = np.array([r.x for r in got]), np.array([r.y for r in got]), np.array(score.weights())
-    start[0] -= moved
-    w = logistic(x, y, 5.0, 40, start)
-    if w[1] > 0:
-        rest = [k for k in range(len(start)) if k != 1]
-        w = np.insert(logistic(x[:, rest], y, 5.0, 40, start[rest]), 1, 0.0)
-    w[0] += moved
-    names = ("base", "per_minute", "mention", "overlap", "same_speaker", "short")
+    free = np.ones(len(start), bool)
+    while True:  # without the weights of time that come out above zero
+        w = np.zeros(len(start))
+        w[free] = logistic(x[:, free], y, 1.0, 60, start[free])
+        above = [k for k in (1, 2) if free[k] and w[k] > 0]
+        if not above:
+            break
+        free[above] = False
+    names = ("base", "per_time", "per_pace", "mention", "overlap", "same_speaker", "short")
     return replace(score, **{k: float(v) for k, v in zip(names, w, strict=True)})
 
 
@@ -362,9 +399,15 @@ def audit(linked: DataFrame) -> DataFrame:
 BROKEN = "missing_start OR missing_replies OR no_text OR one_speaker"
 
 
-def broken_threads(messages: DataFrame) -> DataFrame:
-    """channel_id, thread_ts (six decimals) of the threads to be left out, with the reasons."""
-    return audit(links(counting_messages(messages))).where(BROKEN).withColumn("thread_ts", written(F.col("root_us")))
+def rebuilt(messages: DataFrame, score: LinkScore | None = None, keep_text: bool = False) -> DataFrame:
+    """Every counting message in its tree: ``links`` with roots followed to the end; without a ``score`` one is trained on the threads there are."""
+    starts = cut(with_pace(with_starts(counting_messages(messages))))
+    return cut(trees(links(starts, score or fit_links(starts), keep_text)))
+
+
+def broken_threads(messages: DataFrame, score: LinkScore | None = None) -> DataFrame:
+    """channel_id, thread_ts (six decimals) of the conversations to be left out that messages name as a thread, with the reasons."""
+    return audit(rebuilt(messages, score)).where(BROKEN).withColumn("thread_ts", written(F.col("root_us")))
 
 
 def conversations(messages: DataFrame, members: DataFrame, score: LinkScore | None = None) -> DataFrame:
@@ -375,8 +418,7 @@ def conversations(messages: DataFrame, members: DataFrame, score: LinkScore | No
     threads and trees with one speaker or no text. Deleted messages are no turns. Without
     a ``score`` one is trained on the threads there are.
     """
-    counting = cut(counting_messages(messages))
-    whole = cut(trees(links(counting, score or fit_links(counting), keep_text=True)))
+    whole = rebuilt(messages, score, keep_text=True)
     bad = audit(whole).where(BROKEN).select(F.col("channel_id").alias("_bc"), F.col("root_us").alias("_br"))
     turns = whole.where("NOT gone").join(bad, (F.col("channel_id") == F.col("_bc")) & (F.col("root_us") == F.col("_br")), "left_anti")
     fit = turns.groupBy(F.col("channel_id").alias("_fc"), F.col("root_us").alias("_fr")).agg(F.min("speaker").alias("_a"), F.max("speaker").alias("_z"), F.count_if("shown").alias("_n"))

@@ -1,6 +1,7 @@
 import pytest
 
-from waymark.llm.markup import SUPPORT, clean_records, has_markup, match_trees, parse, render, to_text
+from waymark.llm import markup
+from waymark.llm.markup import SUPPORT, clean_pages, clean_records, has_markup, match_trees, outline, parse, render, shape, to_text, unshape
 
 MARKED = {
     "<b>x</b> y": "x y", "a<br/>b": "a\nb", "it&#39;s": "it's", "R&nbsp;D": "R D", "**a** b": "a b", "*the* x": "the x", "_from_ me": "from me", "~on~ it": "on it", "~~x~~": "x", "# topaz\non it": "# topaz\non it",
@@ -32,6 +33,8 @@ def test_hostile():
 
 def test_tree_matching():
     a, b = parse("<div><p>head</p><p>one</p><ul><li>x</li></ul></div>"), parse("<div><p>head</p><ul><li>y</li><li>z</li></ul></div>")
+    assert [shape(unshape(shape(t))) == shape(t) for t in (a, b, parse("x"), parse("<ac:link><ri:page ri:content-title='q'/></ac:link>"))] == [True] * 4
+    assert outline(a) == "div(p,ul)" and outline(b) == "div(p,ul)" and outline(parse("<p>a</p><p>b</p><ul><li>x</li><li>y</li></ul>")) == "p() ul(li)"
     assert len(match_trees(a, b)) == 5 and match_trees(parse("<p>a</p>"), parse("<p>b</p>")) == [("", ""), ("/0", "/0")]
 
 
@@ -40,8 +43,42 @@ def test_wrapper(spark):
     rows = [(i, "h", page.format(i), "x") for i in range(SUPPORT + 10)] + [(900, "h", None, "x"), (901, "h", "plain", "x"), (902, None, "<b>other</b>", "x"), (902, None, "<b>other</b>", "x")]
     df = spark.createDataFrame(rows, "id long, site string, body string, clean string")
     got = {r.id: r for r in to_text(df, df.site, df.body, ["id"]).collect()}
-    assert got[3].clean == "# Title 3\nBody text number 3" and got[3].n_template == 2 and got[900].clean is None and not got[901].marked and got[902].clean == "other"
+    assert got[3].clean == "# Title 3\nBody text number 3" and got[3].n_template == 2 and got[3].n_slots == 3 and got[900].clean is None and not got[901].marked and got[902].clean == "other"
     assert to_text(df, df.site, df.body, ["id"]).count() == len(rows) and to_text(df.limit(0), df.site, df.body, ["id"]).isEmpty()
+    same = spark.createDataFrame([(i, "h", page.format(1)) for i in range(50)], "id long, site string, body string")
+    assert to_text(same, same.site, same.body, ["id"]).agg({"n_template": "max"}).first()[0] == 0  # copies of one page say nothing of a template
+
+
+def planted(kinds: int, pages: int) -> list[tuple[int, str, str, str]]:
+    """(id, host, page, its content): many kinds of page on a host, of differing length, with headers, menus and footers of their own."""
+    out = []
+    for k in range(kinds):
+        tags = ["section", "article", "main", "aside", "div", "nav"]
+        frame = f"<{tags[k % 6]}><h{1 + k // 6 % 5}>Wiki of kind {k}</h{1 + k // 6 % 5}>" + "<hr/>" * (k // 30) + "<ul><li>Home</li><li>Help {0}</li></ul>".format(k)
+        for i in range(pages):
+            body = "".join(f"<p>paragraph {k} {i} {j}</p>" for j in range(1 + i % 3))
+            content = "\n".join(f"paragraph {k} {i} {j}" for j in range(1 + i % 3))
+            out.append((len(out), "wiki", f"{frame}<div>{body}</div><p>Edited with care</p></{tags[k % 6]}>", content))
+    return out
+
+
+@pytest.mark.parametrize("most", [8 << 20, 1])
+def test_planted_templates_are_left_out(spark, monkeypatch, most):
+    monkeypatch.setattr(markup, "BROADCAST_BYTES", most)  # broadcast, then shuffled
+    rows = planted(30, 12)
+    df = spark.createDataFrame([r[:3] for r in rows], "id long, host string, page string")
+    got = {r.id: r.clean for r in to_text(df, df.host, df.page, ["id"]).collect()}
+    assert all(got[i].replace("\n\n", "\n") == content for i, _, _, content in rows)
+    plain = {i: render(parse(page)) for i, _, page, _ in rows}  # the same without induction
+    assert all("Home" in t and "Edited with care" in t for t in plain.values())
+
+
+def test_wiki_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r.doc_id: r for r in clean_pages(docs).collect()}
+    wanted = {r.doc_id: r.text for r in docs.where("source_type = 'confluence'").collect()}
+    assert rows.keys() == wanted.keys() and sum(r.marked for r in rows.values()) > 50
+    assert all(r.clean is None if wanted[d] is None else len(r.clean) <= len(wanted[d]) + 50 for d, r in rows.items())
 
 
 def test_records(spark):

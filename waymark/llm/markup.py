@@ -1,11 +1,16 @@
 """Problem 4: markup residue turned into clean text that keeps its structure.
 
 HTML, Markdown, wiki, LaTeX and chat markup are parsed into one kind of tree. Over all
-records of one host (a channel, a source) wrappers are induced: the commonest tree
-shapes stand for the host's page kinds, every page is aligned with its kind by simple
-tree matching, and a node whose text is the same on nearly all pages is template, while
-nodes whose text varies are slots that hold content. Rendering leaves out template texts
-and writes slots as headings, lists, code, tables, formulas and labels.
+pages of one host (a wiki, a channel, a source) wrappers are induced: pages with the same
+outline, their first two levels of tags, are of one kind; its commonest tree shape stands
+for it, every other shape is aligned with that by simple tree matching, and a node whose
+text is the same on nearly all pages of the kind is template, while nodes whose text
+varies are slots that hold content. Rendering leaves out template texts and writes slots
+as headings, lists, code, tables, formulas and labels.
+
+Every kind and every shape is aligned, however many a host has and however large they
+are. Two limits of the parser keep hostile texts harmless: marks nested more than 12 deep
+in one another stay as written, and elements open more than 200 deep count as siblings.
 """
 
 from __future__ import annotations
@@ -17,14 +22,14 @@ from html.entities import html5
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.runtime import cut
 
-#: Page kinds of a host at most, pages that must share a text before it can be template, and which share of them.
-KINDS, SUPPORT, CONSTANT = 8, 30, 0.9
-#: Bytes up to which what is known of the hosts is sent to every task; beyond, pages are shuffled to it.
+#: Different pages of a kind that must hold a text before it can be template, and which share of the kind's pages.
+SUPPORT, CONSTANT = 5, 0.9
+#: Bytes up to which what is template is sent to every task; beyond, pages are shuffled to it.
 BROADCAST_BYTES = 8 << 20
 
 #: The names of HTML elements, those without content, those that stand in lines of their own.
@@ -287,11 +292,39 @@ def shape(n: Node) -> str:
     return n.tag + ("(" + ",".join(shape(k) for k in n.kids if isinstance(k, Node)) + ")" if any(isinstance(k, Node) for k in n.kids) else "")
 
 
-def match_trees(a: Node, b: Node, most: int = 4_000) -> list[tuple[str, str]]:
-    """Simple tree matching: the pairs of node paths in the largest order-keeping, level-keeping alignment.
+def unshape(s: str) -> Node:
+    """The tree of a shape."""
+    top = Node("")
+    stack, last = [top], top
+    for m in re.finditer(r"[^(),]+|[()]", s):
+        if m[0] == "(":
+            stack.append(last)
+        elif m[0] == ")":
+            stack.pop()
+        else:
+            last = Node(m[0])
+            stack[-1].kids.append(last)
+    return top.kids[0]
 
-    Where the product of the trees' sizes is above ``most`` squared, only nodes on equal paths are paired.
-    """
+
+def outline(tree: Node) -> str:
+    """The tags of the first two levels, equal ones in a row once: what pages of one kind share."""
+
+    def tags(n: Node) -> list[str]:
+        out: list[str] = []
+        for k in n.kids:
+            if isinstance(k, Node) and out[-1:] != [k.tag]:
+                out.append(k.tag)
+        return out
+
+    inner = [f"{k.tag}({','.join(tags(k))})" for k in tree.kids if isinstance(k, Node)]
+    return " ".join(x for i, x in enumerate(inner) if x not in inner[i - 1 : i])
+
+
+def match_trees(a: Node, b: Node) -> list[tuple[str, str]]:
+    """Simple tree matching: the pairs of node paths in the largest order-keeping, level-keeping alignment."""
+    if shape(a) == shape(b):
+        return [(p, p) for p, _ in _paths(a)]
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
     def kids(n: Node) -> list[Node]:
@@ -323,10 +356,6 @@ def match_trees(a: Node, b: Node, most: int = 4_000) -> list[tuple[str, str]]:
                 i, j = i - 1, j - 1
                 pairs(p[i], q[j], f"{at}/{i}", f"{to}/{j}", out)
 
-    n, m = sum(1 for _ in a.nodes()), sum(1 for _ in b.nodes())
-    if n * m > most * most:
-        mine, theirs = dict(_paths(a)), dict(_paths(b))
-        return [(p, p) for p, x in mine.items() if p in theirs and theirs[p].tag == x.tag]
     if not size(a, b):
         return []
     out: list[tuple[str, str]] = []
@@ -342,113 +371,118 @@ def _paths(n: Node) -> Iterator[tuple[str, Node]]:
         stack.extend((f"{at}/{i}", k) for i, k in enumerate(k for k in x.kids if isinstance(k, Node)))
 
 
-def _pick(tree: Node, kinds: list[Node]) -> tuple[int, list[tuple[str, str]]]:
-    """The kind of page (its number) that aligns best with the tree, and the alignment."""
-    best, found = -1, []
-    for i, k in enumerate(kinds):
-        pairs = match_trees(tree, k)
-        if len(pairs) > len(found):
-            best, found = i, pairs
-    return best, found
-
-
-def _shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        trees = [parse(t) for t in pdf.text]
-        keep = [any(n.tag in ELEMENTS for n in t.nodes()) for t in trees]
-        yield pd.DataFrame({"host": pdf.host[keep], "shape": [shape(t) for t, k in zip(trees, keep, strict=True) if k], "text": pdf.text[keep]})
-
-
-class _KindTrees(dict):
-    """host -> the trees of its page kinds, parsed once a task."""
+def _is_page(tree: Node) -> bool:
+    """Whether a text is one of HTML elements: other texts have no DOM to align."""
+    return any(n.tag in ELEMENTS for n in tree.nodes())
 
-    def of(self, host: str, kinds) -> list[Node]:
-        if host not in self:
-            if len(self) > 10_000:
-                self.clear()
-            self[host] = [parse(k) for k in kinds]
-        return self[host]
 
-
-def _node_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    trees = _KindTrees()
+def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of every HTML text its outline, its shape and the texts of its nodes."""
     for pdf in batches:
         rows = []
-        for host, text, kinds in pdf[["host", "text", "kinds"]].itertuples(index=False, name=None):
+        for host, text in pdf[["host", "text"]].itertuples(index=False, name=None):
             tree = parse(text)
-            if not any(n.tag in ELEMENTS for n in tree.nodes()):
-                continue
-            kind, pairs = _pick(tree, trees.of(host, kinds))
-            mine = dict(_paths(tree))
-            rows.extend((host, kind, to, mine[at].text().strip()) for at, to in pairs if at and mine[at].text().strip())
-        yield pd.DataFrame(rows, columns=["host", "kind", "path", "node_text"]).astype({"kind": "int32"})
+            if _is_page(tree):
+                rows.append((host, outline(tree), shape(tree), [{"path": p, "node_text": t} for p, n in _paths(tree) if p and (t := n.text().strip())]))
+        yield pd.DataFrame(rows, columns=["host", "outline", "shape", "nodes"])
 
 
-def _beside(pages: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
-    """``pages`` joined with a row per host (kinds, maybe constants): broadcast if its size, which is looked at, allows."""
-    size = F.length(F.to_json(F.struct(*(F.col(c) for c in hosts.columns if c != "host"))))
-    small = (hosts.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
-    return pages.join(F.broadcast(hosts) if small else hosts, "host", how)
+def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        trees: dict[str, Node] = {}
+        pairs = [match_trees(unshape(a), trees.setdefault(b, unshape(b))) for a, b in zip(pdf["shape"], pdf["leader"], strict=True)]
+        yield pdf[["host", "outline", "shape"]].assign(pairs=[{own: to for own, to in p} for p in pairs])
 
 
 def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """A row per host with HTML pages: its page kinds and the texts that are template in them.
+    """host, shape, template (path of a node -> the text that is template there) of all shapes that have any.
 
-    ``pages``: host, text (not null). host, kinds (an example page of each of the KINDS
-    commonest shapes, least text first), constants (kind, path, text). Shapes and node
-    texts are counted by partial aggregates, so a host with a third of all pages is no
-    heavier than others; a host has at most KINDS rows when they are brought together.
+    ``pages``: host, text (not null). Copies of a page count once: they say nothing about
+    what varies. Pages, shapes and node texts are counted by partial aggregates, so
+    a host with a third of all pages is no heavier than others. A shape is aligned
+    once, not once a page.
     """
-    marked = pages.where(F.col("text").rlike(r"<[A-Za-z]"))
-    shapes = marked.mapInPandas(_shapes, "host string, shape string, text string").groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("text").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "shape"))
-    kinds = shapes.withColumn("rank", rank).where(F.col("rank") <= KINDS)
-    kinds = kinds.groupBy("host").agg(F.expr("transform(array_sort(collect_list(struct(rank, text))), x -> x.text)").alias("kinds"))
-    kinds = cut(kinds)
-    texts = _beside(marked, kinds, "inner").mapInPandas(_node_texts, "host string, kind int, path string, node_text string")
-    counted = texts.groupBy("host", "kind", "path", "node_text").agg(F.count("*").alias("n"))
-    nodes = counted.groupBy("host", "kind", "path").agg(F.sum("n").alias("all"), F.max(F.struct("n", "node_text")).alias("top"))
-    constant = nodes.where((F.col("top.n") >= SUPPORT) & (F.col("top.n") >= F.col("all") * CONSTANT))
-    constants = constant.groupBy("host").agg(F.collect_list(F.struct("kind", "path", F.col("top.node_text").alias("text"))).alias("constants"))
-    return kinds.join(constants, "host", "left")
+    marked = pages.where(F.col("text").rlike(r"<[A-Za-z]")).select("host", "text").distinct()
+    parsed = cut(marked.mapInPandas(_pages, "host string, outline string, shape string, nodes array<struct<path:string,node_text:string>>"))
+    shapes = parsed.groupBy("host", "outline", "shape").agg(F.count("*").alias("n"))
+    kinds = shapes.groupBy("host", "outline").agg(F.sum("n").alias("n_pages"), F.max(F.struct("n", "shape")).alias("top")).where(F.col("n_pages") >= SUPPORT)
+    kinds = kinds.select("host", "outline", "n_pages", F.col("top.shape").alias("leader"))
+    aligned = cut(shapes.drop("n").join(kinds, ["host", "outline"]).mapInPandas(_align, "host string, outline string, shape string, pairs map<string,string>"))
+    of_page = parsed.join(aligned, ["host", "outline", "shape"])
+    texts = of_page.select("host", "outline", "pairs", F.explode("nodes").alias("x")).select("host", "outline", F.col("pairs")[F.col("x.path")].alias("path"), F.col("x.node_text").alias("node_text")).where("path IS NOT NULL")
+    counted = texts.groupBy("host", "outline", "path", "node_text").agg(F.count("*").alias("n"))
+    top = counted.groupBy("host", "outline", "path").agg(F.max(F.struct("n", "node_text")).alias("top")).join(kinds, ["host", "outline"])
+    constant = top.where((F.col("top.n") >= SUPPORT) & (F.col("top.n") >= F.col("n_pages") * CONSTANT)).select("host", "outline", "path", F.col("top.node_text").alias("node_text"))
+    own = aligned.select("host", "outline", "shape", F.explode("pairs").alias("own", "path")).join(constant, ["host", "outline", "path"])
+    return own.groupBy("host", "shape").agg(F.map_from_entries(F.collect_list(F.struct("own", "node_text"))).alias("template"))
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trees = _KindTrees()
+    """Every text rendered with all its nodes as slots, and the shape of those that are pages; a text is parsed once a task."""
+    known: dict[str, tuple] = {}
     for b in batches:
-        clean, marked, left_out = [], [], []
-        for host, text, kinds, constants in zip(*(b.column(c).to_pylist() for c in ("host", "text", "kinds", "constants")), strict=True):
+        out = []
+        for text in b.column("text").to_pylist():
             if text is None:
-                clean.append(None), marked.append(False), left_out.append(0)
+                out.append((None, 0, None, None))
                 continue
-            tree = parse(text)
-            template: dict[str, str] = {}
-            if constants and has_markup(tree):
-                kind, pairs = _pick(tree, trees.of(host, kinds))
-                fixed = {c["path"]: c["text"] for c in constants if c["kind"] == kind}
-                template = {at: fixed[to] for at, to in pairs if to in fixed}
-            is_marked = has_markup(tree)
-            clean.append(render(tree, template) if is_marked else text)
-            marked.append(is_marked)
-            left_out.append(len(template))
-        keys = [c for c in b.schema.names if c not in ("host", "text", "kinds", "constants")]
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(clean, pa.string()), pa.array(marked, pa.bool_()), pa.array(left_out, pa.int32())], [*keys, "clean", "marked", "n_template"])
+            if (got := known.get(text)) is None:
+                tree = parse(text)
+                n = sum(1 for _ in tree.nodes()) - 1
+                page = n > 0 and _is_page(tree)
+                got = (render(tree) if n else text, n, shape(tree) if page else None, text if page else None)
+                if len(known) > 200_000:
+                    known.clear()
+                known[text] = got
+            out.append(got)
+        clean, n, shapes, pages = zip(*out, strict=True) if out else ((), (), (), ())
+        keys = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(clean, pa.string()), pa.array(n, pa.int32()), pa.array(shapes, pa.string()), pa.array(pages, pa.string())], [*keys, "clean", "n_nodes", "shape", "page"])
+
+
+def _without_template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        clean, left_out = b.column("clean").to_pylist(), [0] * b.num_rows
+        for i, (page, template) in enumerate(zip(b.column("page").to_pylist(), b.column("template").to_pylist(), strict=True)):
+            if page is not None and template:
+                tree, fixed = parse(page), dict(template)
+                clean[i], left_out[i] = render(tree, fixed), sum(1 for p, n in _paths(tree) if p in fixed and n.text().strip() == fixed[p])
+        keys = [c for c in b.schema.names if c not in ("clean", "n_nodes", "page", "template")]
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(clean, pa.string()), b.column("n_nodes"), pa.array(left_out, pa.int32())], [*keys, "clean", "n_nodes", "n_template"])
 
 
 def to_text(records: DataFrame, host: Column, text: Column, keys: list[str]) -> DataFrame:
-    """``keys`` with clean (the text), marked (whether it held markup) and n_template (nodes left out).
+    """``keys`` with clean (the text), marked (whether it held markup), n_template and n_slots (nodes left out, and the others).
 
     Null texts stay null, empty and plain ones as they are; repeated rows stay repeated.
     A null host is a host of its own. Other columns aren't read.
     """
-    pages = records.select(*keys, F.coalesce(host, F.lit("")).alias("host"), text.alias("text"))
-    wrappers = cut(induce_wrappers(pages.where("text IS NOT NULL").select("host", "text")))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keys).schema)
-    return _beside(pages, wrappers, "left").mapInArrow(_convert, f"{types}, clean string, marked boolean, n_template int")
+    pages = records.select(*keys, F.coalesce(host, F.lit("")).alias("_host"), text.alias("text"))
+    templates = cut(induce_wrappers(pages.where("text IS NOT NULL").select(F.col("_host").alias("host"), "text")))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.drop("text").schema)
+    done = pages.mapInArrow(_convert, f"{types}, clean string, n_nodes int, shape string, page string")
+    bytes_ = templates.agg(F.sum(F.length(F.to_json(F.struct("host", "shape", "template"))))).first()[0] or 0
+    if not bytes_:
+        done = done.withColumn("n_template", F.lit(0))
+    else:
+        t = templates.select(F.col("host").alias("_host"), "shape", "template")
+        if bytes_ <= BROADCAST_BYTES:
+            done = done.join(F.broadcast(t), ["_host", "shape"], "left")
+        else:  # only pages move, by host and shape
+            done = cut(done)
+            done = done.where("shape IS NOT NULL").join(t, ["_host", "shape"], "left").unionByName(done.where("shape IS NULL").withColumn("template", F.lit(None).cast("map<string,string>")))
+        done = done.select(*keys, "clean", "n_nodes", "page", "template").mapInArrow(_without_template, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pages.select(*keys).schema)}, clean string, n_nodes int, n_template int")
+    slots = F.greatest(F.col("n_nodes") - F.col("n_template"), F.lit(0))
+    return done.select(*keys, "clean", ((slots > 0) | (F.col("n_template") > 0)).alias("marked"), "n_template", slots.alias("n_slots"))
 
 
 def clean_records(slack_messages: DataFrame, remote_items: DataFrame) -> DataFrame:
-    """Every message text and item title: record_table, record_id, clean, marked, n_template."""
+    """Every message text and item title: record_table, record_id, clean, marked, n_template, n_slots; hosts are channels and sources."""
     m = slack_messages.select(F.lit("slack_messages").alias("record_table"), F.col("msg_id").alias("record_id"), F.concat(F.lit("chat:"), "channel_id").alias("_host"), F.col("text").alias("_text"))
     t = remote_items.select(F.lit("remote_items").alias("record_table"), F.col("feed_id").alias("record_id"), F.concat(F.lit("item:"), "source_name").alias("_host"), F.col("title").alias("_text"))
     return to_text(m.unionByName(t), F.col("_host"), F.col("_text"), ["record_table", "record_id"])
+
+
+def clean_pages(documents: DataFrame) -> DataFrame:
+    """Every wiki document: doc_id, clean, marked, n_template, n_slots; hosts are the wikis."""
+    return to_text(documents.where("source_type = 'confluence'"), F.col("source"), F.col("text"), ["doc_id"])

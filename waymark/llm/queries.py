@@ -106,6 +106,12 @@ def p4_clean(spark, d):
     return _cleaned(spark, d)
 
 
+@LLM.add("p4_pages")
+def p4_pages(spark, d):
+    """Every wiki document as clean text, without what its wiki puts on all pages of a kind."""
+    return markup.clean_pages(table(spark, d, "documents"))
+
+
 def _masked(spark, d):
     return pii.find_and_mask(_messages(spark, d), ["msg_id"])
 

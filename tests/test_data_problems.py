@@ -108,3 +108,19 @@ def test_orphans(spark):
     assert counts == {("doc_links", "1970-01"): (3, 2), ("doc_links", "1970-02"): (1, 1), ("chunks", "1970-01"): (3, 2), ("doc_links_pending", "1970-01"): (10, 5)}
     assert orphans(links.limit(0), chunks.limit(0), pend.limit(0), docs, tombs).isEmpty()
     assert orphans(links, chunks, pend, docs.limit(0), tombs.limit(0)).count() == 4 + 3 + 10
+
+
+def test_heavy_keys_apart(spark):
+    """Counts and rows are the same whatever counts as heavy: a dead and a live key of a third each, a null one, and many small ones."""
+    from waymark.operators.references import OrphanSplit
+
+    rows = [("t", i, "m1", "#1") for i in range(300)] + [("t", i, "m2", "#2") for i in range(300)] + [("u", i, "m1", "") for i in range(40)] + [("u", i, "m1", f"#{i}") for i in range(100)]
+    refs = spark.createDataFrame(rows, "ref_table string, owner_id long, month string, key string")
+    live = spark.createDataFrame([(f"#{i}",) for i in [*range(2, 50), 2]], "_live string")
+    want = {r for r in rows if r[3] not in {f"#{i}" for i in range(2, 50)}}
+    for share in (1.0, 0.3, 0.02, 1e-9):
+        s = OrphanSplit(refs, live, share)
+        assert {tuple(r) for r in s.rows().select(*refs.columns).collect()} == want and s.rows().count() == len(want)
+        assert {tuple(r) for r in s.counts().collect()} == {("t", "m1", 300, 300), ("t", "m2", 300, 0), ("u", "m1", 140, sum(r[0] == "u" for r in want))}
+    empty = OrphanSplit(refs.limit(0), live)
+    assert empty.rows().isEmpty() and empty.counts().isEmpty() and OrphanSplit(refs, live.limit(0)).rows().count() == len(rows)

@@ -41,29 +41,61 @@ def month_of(seconds: Column) -> Column:
     return F.date_format(utc_date(seconds), "yyyy-MM")
 
 
-def references(doc_links: DataFrame, chunks: DataFrame) -> DataFrame:
-    """All references by document id: ref_table, owner_id, target (long), at."""
-    links = doc_links.select(F.lit("doc_links").alias("ref_table"), F.col("from_id").alias("owner_id"), F.col("to_id").alias("target"), F.col("created_at").alias("at"))
-    return links.unionByName(chunks.select(F.lit("chunks").alias("ref_table"), F.col("chunk_id").alias("owner_id"), F.col("doc_id").alias("target"), F.col("indexed_at").alias("at")))
+def references(doc_links: DataFrame, chunks: DataFrame, pending: DataFrame) -> DataFrame:
+    """All different references: ref_table, owner_id, target (as text), month, key.
 
+    The key is what the reference leads to: "#" and a document's id, or "=" and a folded name;
+    "" if it leads nowhere by itself, as a null does.
+    """
+    rows = lambda t, name, owner, target, at: t.select(F.lit(name).alias("ref_table"), F.col(owner).alias("owner_id"), F.col(target).cast("string").alias("target"), month_of(F.col(at)).alias("month"))
+    by_id = rows(doc_links, "doc_links", "from_id", "to_id", "created_at").unionByName(rows(chunks, "chunks", "chunk_id", "doc_id", "indexed_at"))
+    by_id = by_id.withColumn("key", F.coalesce(F.concat(F.lit("#"), "target"), F.lit("")))
+    by_name = rows(pending, "doc_links_pending", "from_id", "target_ref", "created_at").withColumn("_raw", F.coalesce(reference_name(F.col("target")), F.lit("")))
+    by_name = _folded(by_name, "_raw", "key").drop("_raw").withColumn("key", F.when(F.col("key") == "", "").otherwise(F.concat(F.lit("="), "key")))
+    return by_id.unionByName(by_name).distinct()
+
+
+def live_keys(live: DataFrame) -> DataFrame:
+    """The keys of ``references`` that a live document stands behind."""
+    return live.select(F.concat(F.lit("#"), F.col("doc_id").cast("string")).alias("_live")).union(live_names(live).select(F.concat(F.lit("="), "_name")))
 
-def orphan_split(refs: DataFrame, live: DataFrame, target: str, key: str, live_key: str, heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """The rows of ``refs`` whose ``key`` is no ``live_key``, heavy keys apart from the rest.
 
-    References are counted per key first. Keys with at least ``heavy_share`` of all
-    references, at most 1 / heavy_share of them, are checked once each and the dead
-    ones broadcast, so their references never move; the other keys go through a
-    shuffled anti-join, in which none can weigh more than that share. A null key
-    refers to nothing and is an orphan.
+class OrphanSplit:
+    """References judged by their keys, heavy keys apart from the rest.
+
+    ``refs`` (ref_table, month, key and more) are counted per key, table and month first, and
+    all that follows is of these counts. Keys with at least ``heavy_share`` of all references,
+    at most 1 / heavy_share of them, are checked once each against the live keys and
+    broadcast; the other counts go through a shuffled anti-join, in which no key can weigh
+    more than that share. The two orphan counts are united.
     """
-    counted = cut(refs.groupBy(key).agg(F.count("*").alias("_n")))
-    most = counted.agg(F.sum("_n")).first()[0] or 0
-    heavy = counted.where((F.col("_n") >= max(1, most * heavy_share)) & F.col(key).isNotNull()).select(F.col(key).alias("_heavy"))
-    alive = live.select(F.col(live_key).alias("_live"))
-    dead = heavy.join(alive, heavy._heavy == alive._live, "left_anti")
-    of_heavy = refs.join(F.broadcast(dead), refs[key] == F.col("_heavy"), "left_semi")
-    rest = refs.join(F.broadcast(heavy), refs[key] == F.col("_heavy"), "left_anti")
-    return of_heavy.unionByName(rest.join(alive, rest[key] == alive._live, "left_anti"))
+
+    def __init__(self, refs: DataFrame, live: DataFrame, heavy_share: float = HEAVY_SHARE):
+        self.refs, self.counted = refs, cut(refs.groupBy("key", "ref_table", "month").agg(F.count("*").alias("n")))
+        per_key = self.counted.groupBy("key").agg(F.sum("n").alias("_n"))
+        most = self.counted.agg(F.sum("n")).first()[0] or 0
+        heavy = cut(per_key.where(F.col("_n") >= max(1, most * heavy_share)).select(F.col("key").alias("_heavy")))
+        alive = live.join(F.broadcast(heavy), F.col("_live") == F.col("_heavy"), "left_semi").select("_live").distinct()
+        self.heavy, self.dead_heavy = heavy, cut(heavy.join(alive, F.col("_heavy") == F.col("_live"), "left_anti"))
+        rest = self.counted.join(F.broadcast(heavy), F.col("key") == F.col("_heavy"), "left_anti")
+        self._rest = cut(rest.join(live, F.col("key") == F.col("_live"), "left_anti"))
+
+    def counts(self) -> DataFrame:
+        """ref_table, month, n_references, n_orphans."""
+        of_heavy = self.counted.join(F.broadcast(self.dead_heavy), F.col("key") == F.col("_heavy"), "left_semi")
+        orphans = of_heavy.unionByName(self._rest).select("ref_table", "month", F.lit(0).cast("long").alias("n"), F.col("n").alias("orphan"))
+        every = self.counted.select("ref_table", "month", "n", F.lit(0).cast("long").alias("orphan"))
+        return every.unionByName(orphans).groupBy("ref_table", "month").agg(F.sum("n").alias("n_references"), F.sum("orphan").alias("n_orphans"))
+
+    def rows(self) -> DataFrame:
+        """The references that are orphans: those of dead heavy keys never move, the others meet the orphaned keys."""
+        of_heavy = self.refs.join(F.broadcast(self.dead_heavy), F.col("key") == F.col("_heavy"), "left_semi")
+        rest = self.refs.join(F.broadcast(self.heavy), F.col("key") == F.col("_heavy"), "left_anti")
+        return of_heavy.unionByName(rest.join(self._rest.select(F.col("key").alias("_dead")).distinct(), F.col("key") == F.col("_dead"), "left_semi"))
+
+
+def _split(doc_links: DataFrame, chunks: DataFrame, pending: DataFrame, documents: DataFrame, tombstones: DataFrame) -> OrphanSplit:
+    return OrphanSplit(cut(references(doc_links, chunks, pending)), live_keys(cut(live_documents(documents, tombstones))))
 
 
 def orphans(doc_links: DataFrame, chunks: DataFrame, pending: DataFrame, documents: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -71,30 +103,12 @@ def orphans(doc_links: DataFrame, chunks: DataFrame, pending: DataFrame, documen
 
     Repeated references are one row; empty tables give none. Extra columns of the inputs aren't read.
     """
-    live = live_documents(documents, tombstones)
-    by_id = references(doc_links, chunks).select("ref_table", "owner_id", "target", month_of(F.col("at")).alias("month")).distinct()
-    dead_ids = orphan_split(by_id, live, "target", "target", "doc_id").withColumn("target", F.col("target").cast("string"))
-    refs = pending.select(F.lit("doc_links_pending").alias("ref_table"), F.col("from_id").alias("owner_id"), F.col("target_ref").alias("target"), month_of(F.col("created_at")).alias("month")).distinct()
-    refs = _folded(refs.withColumn("_raw", F.coalesce(reference_name(F.col("target")), F.lit(""))), "_raw", "_key").drop("_raw")
-    dead_refs = orphan_split(refs, live_names(live), "target", "_key", "_name").drop("_key")
-    return dead_ids.unionByName(dead_refs)
-
-
-def _counts(refs: DataFrame, live: DataFrame, key: str, live_key: str) -> DataFrame:
-    """References per table and month, all and orphaned, from (key, month) counts: no row moves twice."""
-    per_key = refs.groupBy("ref_table", key, "month").agg(F.count("*").alias("_n"))
-    alive = live.select(F.col(live_key).alias("_live"), F.lit(True).alias("_is_live"))
-    joined = per_key.join(alive, per_key[key] == alive._live, "left")
-    return joined.groupBy("ref_table", "month").agg(F.sum("_n").alias("n_references"), F.sum(F.when(F.col("_is_live").isNull(), F.col("_n")).otherwise(0)).alias("n_orphans"))
+    return _split(doc_links, chunks, pending, documents, tombstones).rows().drop("key")
 
 
 def orphan_counts(doc_links: DataFrame, chunks: DataFrame, pending: DataFrame, documents: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """ref_table, month, n_references, n_orphans over distinct references (table, owner, target, month)."""
-    live = live_documents(documents, tombstones)
-    by_id = references(doc_links, chunks).select("ref_table", "owner_id", "target", month_of(F.col("at")).alias("month")).distinct()
-    refs = pending.select(F.lit("doc_links_pending").alias("ref_table"), F.col("from_id").alias("owner_id"), F.col("target_ref").alias("target"), month_of(F.col("created_at")).alias("month")).distinct()
-    refs = _folded(refs.withColumn("_raw", F.coalesce(reference_name(F.col("target")), F.lit(""))), "_raw", "_key").drop("_raw")
-    return _counts(by_id, live, "target", "doc_id").unionByName(_counts(refs, live_names(live), "_key", "_name"))
+    """ref_table, month, n_references, n_orphans over different references (table, owner, target, month)."""
+    return _split(doc_links, chunks, pending, documents, tombstones).counts()
 
 
-__all__ = ["live_documents", "live_names", "orphan_counts", "orphan_split", "orphans"]
+__all__ = ["OrphanSplit", "live_documents", "live_names", "orphan_counts", "orphans"]

@@ -7,6 +7,7 @@ frontier is never collected.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 from functools import reduce
 
@@ -135,14 +136,14 @@ def reachable(edges: DataFrame, seed: int, direction: str = "outgoing", where=An
     return expand(edges, start, None, direction, where, include_seeds=False)
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, where=AnyEdge(), most_hops: int = 10_000) -> list[int]:  # noqa: B008
+def shortest_path(edges: DataFrame, start: int, end: int, where=AnyEdge()) -> list[int]:  # noqa: B008
     """The documents of a shortest outgoing path; of equal ones that of the smallest predecessors. Raises NoPath."""
     if start == end:
         return [start]
     spark, step = edges.sparkSession, _step(edges, "outgoing", where)
     seen = cut(spark.createDataFrame([(start, None, 0)], "doc_id long, parent long, hop int"))
     frontier = seen
-    for hop in range(1, most_hops + 1):
+    for hop in itertools.count(1):
         new = step.join(frontier.select(F.col("doc_id").alias("at")), "at").groupBy(F.col("other").alias("doc_id")).agg(F.min("at").alias("parent"))
         frontier = cut(new.join(seen.select("doc_id"), "doc_id", "left_anti").select("doc_id", "parent", F.lit(hop).alias("hop")))
         if frontier.isEmpty():
@@ -150,8 +151,6 @@ def shortest_path(edges: DataFrame, start: int, end: int, where=AnyEdge(), most_
         seen = cut(seen.unionByName(frontier))
         if not frontier.where(F.col("doc_id") == end).isEmpty():
             break
-    else:
-        raise NoPath(f"{start} -> {end} within {most_hops} hops")
     path = [end]
     while path[-1] != start:  # one row per hop
         path.append(seen.where(F.col("doc_id") == path[-1]).select("parent").first()[0])

@@ -35,7 +35,7 @@ keys AS (
 
 
 def _documents(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "file_path", "source_type", "auto_type", "lang", "text"), "doc_id")
+    return table(spark, d, "documents").select("doc_id", "file_path", "source_type", "auto_type", "lang", "text")
 
 
 def _keys(spark, d, *names):
@@ -551,7 +551,7 @@ def semantic_three_stage(spark, d):
 
 
 def _files(spark, d, kind, parser):
-    docs = _documents(spark, d).where((F.col("source_type") == kind) & F.col("text").isNotNull())
+    docs = spread(_documents(spark, d)).where((F.col("source_type") == kind) & F.col("text").isNotNull())
     return docs.select("doc_id", "file_path", F.col("text").cast("binary").alias("content"), F.lit(parser).alias("parser"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,40 +13,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; choose one only where none is set (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which every executor reaches; where none is set, one of this machine if the session runs on it alone, else an error."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="waymark-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint, which outlives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores if it is read from so few bytes that its scan would leave some idle.
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer splits than there are cores, as one small file has; for stages of Python that would leave cores idle.
 
-    Larger tables come back as they are: their scan has splits enough, and no shuffle is
-    worth it. ``df`` must be a plain scan.
+    A table with splits enough comes back as it is.
     """
-    spark = df.sparkSession
-    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
-    if not 0 < len(files) < cores:
-        return df
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    split = int(spark.sparkContext._jsc.sc().conf().getSizeAsBytes("spark.sql.files.maxPartitionBytes", "128m"))
-    return df.repartition(cores, key) if size < cores * split // 4 else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 class Files:
-    """The few file-system calls that commits need, on whatever file system ``root`` names."""
+    """The few file-system calls that commits need.
+
+    Commits rest on a rename that is refused where the target exists. Local file systems,
+    HDFS and Azure's hierarchical stores have one; on other stores a commit is refused.
+    """
+
+    ATOMIC = ("file", "hdfs", "viewfs", "abfs", "abfss")
 
     def __init__(self, spark: SparkSession, root: str):
         self._jvm = spark.sparkContext._jvm
@@ -76,6 +77,8 @@ class Files:
         The text goes to a hidden sibling first and is renamed into place, so no
         reader sees half of it and of two writers one loses.
         """
+        if self._fs.getScheme() not in self.ATOMIC:
+            raise NotImplementedError(f"{self._fs.getScheme()} has no rename that two writers can't both win")
         target = self._path(name)
         self._fs.mkdirs(target.getParent())
         tmp = self._path(f"{target.getParent()}/.{target.getName()}.{self._jvm.java.util.UUID.randomUUID()}")

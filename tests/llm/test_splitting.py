@@ -52,3 +52,11 @@ def test_keys_are_kept(spark):
     chunks = spark.createDataFrame([(big, big, 0, None, "a", None), (None, big, 5, None, None, 1), (7, None, 0, None, "x", 1)], "chunk_id long, doc_id long, byte_start long, byte_end long, label string, depth int")
     got = split_chunks(chunks, docs).collect()
     assert {(r.chunk_id, r.doc_id, r.depth) for r in got} == {(big, big, None), (None, big, 1)}
+
+
+def test_an_early_sentence_end_goes_before_a_word_cut():
+    b = b"A sentence of some words ends here. " * 14 + b"word " * 600
+    last = b.rindex(b"here. ") + 6
+    pieces = split(b)
+    assert pieces[0][:2] == (0, last) and pieces[0][2] == "topic" and last < 600 and all(y - x <= 1500 for x, y, _ in pieces) and pieces[-1][1] == len(b)
+    assert all(kind == "word" for _, _, kind in pieces[1:-1])

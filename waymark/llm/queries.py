@@ -12,11 +12,11 @@ LLM = Registry()
 
 
 def _documents(spark, d):
-    return spread(table(spark, d, "documents").select("doc_id", "text", "source", "source_type"), "doc_id")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source", "source_type"))
 
 
 def _messages(spark, d):
-    return spread(table(spark, d, "slack_messages").select("msg_id", "channel_id", "text"), "msg_id")
+    return spread(table(spark, d, "slack_messages").select("msg_id", "channel_id", "text"))
 
 
 @LLM.add("p8_ids")
@@ -92,7 +92,7 @@ def p2_conversations(spark, d):
 
 
 def _cleaned(spark, d):
-    return markup.clean_records(_messages(spark, d), spread(table(spark, d, "remote_items").select("feed_id", "source_name", "title"), "feed_id"))
+    return markup.clean_records(_messages(spark, d), spread(table(spark, d, "remote_items").select("feed_id", "source_name", "title")))
 
 
 @LLM.add("p4_found")

@@ -75,8 +75,9 @@ def _word_start(b: bytes, lo: int, hi: int) -> int:
 def split(b: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
     """Pieces as (start, end, what the end is at) with end - start <= limit, in order, covering ``b``.
 
-    Each piece but the first starts about ``overlap`` bytes before the end of the one
-    before. Empty input has no piece. Ends are "topic", "word", "character" or "end".
+    A piece ends at the deepest valley between LEAST of the limit and the limit, else at
+    the last natural end before, else between words or characters. Each piece but the first
+    starts about ``overlap`` bytes before the end of the one before. Empty input has no piece. Ends are "topic", "word", "character" or "end".
     """
     if limit < 8 or not 0 <= overlap <= limit // 3:
         raise ValueError("the overlap must be at most a third of the limit, and the limit 8 or more")
@@ -98,6 +99,8 @@ def split(b: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
             j += 1
         if best >= 0:
             end, kind = ends[best], "topic"
+        elif k and ends[k - 1] > start + 2 * overlap:  # none where a piece should end: the last before
+            end, kind = ends[k - 1], "topic"
         elif (w := _word_start(b, lo, hi)) > lo:
             end, kind = w, "word"
         else:

@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 
 from waymark.llm.fitting import logistic
 
-#: Labelled documents that the classifiers are fitted on, at most, and the longest text among them in bytes.
-MAX_LABELLED, MAX_LABELLED_BYTES = 8_000, 20_000
+#: Labelled documents that the classifiers are fitted on, at most, and the longest text among them in bytes; subjects, of which more are an error.
+MAX_LABELLED, MAX_LABELLED_BYTES, MAX_SUBJECTS = 8_000, 20_000, 1_000
 #: Words and word pairs rarer than this in the sample get no weight.
 LEAST_DOCS = 2
-ROUNDS, OTHER, NOTHING, SMOOTH = 6, 0.02, 0.25, 0.3
+ROUNDS, OTHER, NOTHING, SMOOTH = 10, 0.02, 0.25, 0.3
 #: Least weight of a term while sentences are sorted out and in the end, greatest weight, and what a sentence without any term weighs for no subject.
 LEAST, FIRM, MOST, EVEN = 0.8, 1.6, 4.0, 1.0
 #: Sentences that a subject must have, and the subject that program code has without any.
@@ -242,7 +242,7 @@ class Model:
                 there = np.append(first[1:], len(falling)) - first > k
                 best[used[there], c, k] = falling[first[there] + k]
         n = np.bincount(b.doc_of_sentence, minlength=b.n_docs)
-        shape = np.array([structure_of(t) if t and k == "code" or t and "{" in t else (0.0, 0.0) for t, k in zip(texts, kinds, strict=True)]).reshape(b.n_docs, 2)
+        shape = np.array([structure_of(t) if t else (0.0, 0.0) for t in texts]).reshape(b.n_docs, 2)
         kind = np.array([[float(k == x) for x in KINDS] for k in kinds]).reshape(b.n_docs, len(KINDS))
         common = np.concatenate([kind, shape, np.log1p(n)[:, None] / 3], 1)
         own = np.concatenate([best, np.stack([sure >= 2, sure >= 3, np.log1p(sure), sure / np.maximum(1, n)[:, None]], 2)], 2)
@@ -284,7 +284,7 @@ def labelled_sample(documents: DataFrame, subject_labels: DataFrame, subjects: D
 
     Repeated labels count once; labels of unknown subjects and of missing or blank documents aren't used.
     """
-    known = subject_labels.join(F.broadcast(subjects.select("subject").distinct().limit(1000)), "subject", "left_semi")
+    known = subject_labels.join(subjects.select("subject").distinct(), "subject", "left_semi")
     per_doc = known.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     chosen = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # a bounded number of rows from here on
     texts = documents.select("doc_id", "text", "source_type").where((F.octet_length("text") <= MAX_LABELLED_BYTES) & F.col("text").rlike(r"\S"))
@@ -292,8 +292,10 @@ def labelled_sample(documents: DataFrame, subject_labels: DataFrame, subjects: D
 
 
 def train(documents: DataFrame, subject_labels: DataFrame, subjects: DataFrame, most: int = MAX_LABELLED) -> Model | None:
-    """A model from the labelled sample; None where there are fewer than two labelled documents."""
-    names = [r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().orderBy("subject").limit(1000).collect()]
+    """A model from the labelled sample; None where there are fewer than two labelled documents. More than MAX_SUBJECTS subjects are an error."""
+    names = sorted(r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     sample = labelled_sample(documents, subject_labels, subjects, most)
     if len(sample) < 2 or not names:
         return None

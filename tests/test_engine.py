@@ -144,23 +144,90 @@ def test_rank_within(spark):
 
 def test_broken_run(spark, tmp_path, monkeypatch):
     from waymark.operators.manifest import ManifestTable
+    from waymark.runtime import Files
 
     vault = tmp_path / "vault"
     vault.mkdir()
     for n in "abc":
         (vault / f"{n}.md").write_text(f"# {n}\n[[a]] #tag-{n}\n")
     e = Engine(spark, str(tmp_path / "index"))
-    commit = ManifestTable.commit
-
-    def fails(self, *args, **kwargs):
-        if self.root.endswith("/documents"):
-            raise OSError("lost")
-        return commit(self, *args, **kwargs)
-
-    monkeypatch.setattr(ManifestTable, "commit", fails)
-    with pytest.raises(OSError):
-        e.index(str(vault), 1)
-    monkeypatch.setattr(ManifestTable, "commit", commit)
-    assert e.tables.documents.isEmpty()
+    for where, name, when in ((Files, "write_once", 1), (ManifestTable, "stage", 5)):  # at the manifest, and between the tables
+        own, calls = getattr(where, name), []
+
+        def fails(self, *args, own=own, calls=calls, when=when):
+            calls.append(args)
+            if len(calls) == when:
+                raise OSError("lost")
+            return own(self, *args)
+
+        monkeypatch.setattr(where, name, fails)
+        with pytest.raises(OSError):
+            e.index(str(vault), 1)
+        monkeypatch.setattr(where, name, own)
+        assert e.tables.documents.isEmpty() and e.tables.chunks.isEmpty() and e.tables.doc_keys.isEmpty()
     assert tuple(e.index(str(vault), 2).first()) == (3, 0, 0, 0)
     assert e.tables.documents.count() == 3 and e.tables.chunks.count() == 3 and e.tables.edges.count() == 3 and e.tables.vectors.count() == 3 and e.filters("tag").count() == 3
+
+
+def test_a_reader_sees_one_version(spark, tmp_path):
+    vault = tmp_path / "vault"
+    vault.mkdir()
+    for n in "abc":
+        (vault / f"{n}.md").write_text(f"# {n}\n[[a]] #old\n")
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index(str(vault), 1)
+    reader = e.at(e.tables)
+    before = reader.tables.stored.read("documents/data", reader.tables.version)
+    (vault / "a.md").write_text("# a\n#new\n")
+    e.index(str(vault), 2)  # a commit between reading the rows and their deletes
+    assert before.count() == 3 and reader.tables.documents.count() == 3 and reader.match("tag:old").count() == 3 and reader.match("tag:new").isEmpty()
+    assert e.match("tag:old").count() == 2 and e.match("tag:new").count() == 1
+    late = e.at(e.tables)
+    e.compact()
+    from waymark.operators.manifest import ConcurrentCommit
+
+    with pytest.raises(ConcurrentCommit):  # of two writers from one version the second is refused, and nothing of it is seen
+        late.tables.change(tombstones=(spark.createDataFrame([(1, 5)], "doc_id long, tombstoned_at long"), None))
+    assert e.tables.tombstones.isEmpty()
+
+
+def test_sources_and_enrichment(spark, tmp_path):
+    from waymark.functions.keys import RuleTagger
+
+    issue = b'{"key": "K-1", "fields": {"summary": "S", "status": {"name": "Open"}, "issuetype": {"name": "Bug"}, "project": {"key": "K"}}}'
+    rows = [("jira://K/K-1.jira", issue, "issue"), ("/v/a.md", b"# A\nx\n", "markdown"), ("/v/b.py", b"x = 1\n", "code"), ("slack://c/2024-01-01.slack", b'{"channel_name": "c", "date": "2024-01-01", "messages": [{"ts": "1", "user": "U", "text": "hi"}]}', "chat")]
+    files = spark.createDataFrame(rows, "file_path string, content binary, parser string").withColumn("content_hash", ingest.content_hash(F.col("content")))
+    e = Engine(spark, str(tmp_path / "index"), rules=[RuleTagger.load({"name": "r", "rules": [{"match": {"folder": "/v"}, "add_tags": ["place:vault"]}]})])
+    e.sync(files, 1)
+    assert {r.file_path: r.source_type for r in e.tables.documents.collect()} == {"jira://K/K-1.jira": "jira", "/v/a.md": "obsidian", "/v/b.py": "code", "slack://c/2024-01-01.slack": "slack"}
+    assert {r.bitmap_key: r.cardinality for r in e.filters("source").collect()} == {"source:jira": 1, "source:obsidian": 1, "source:code": 1, "source:slack": 1}
+    assert e.match("place:vault").count() == 2 and e.match("complexity:low").count() == 4
+    unread = files.where("parser <> 'code'").select("file_path").union(spark.createDataFrame([("/v/b.py",), ("/v/new.py",)], "file_path string"))
+    assert tuple(e.sync(files.where("parser <> 'code'"), 2, listing=unread).first()) == (0, 0, 4, 0)  # an unread file isn't a deleted one
+
+
+def test_no_walk_goes_through_the_dead(spark):
+    docs = spark.createDataFrame([(i, f"/{i}") for i in range(1, 5)], "doc_id long, file_path string").selectExpr("doc_id", "file_path", "'x' AS source_type")
+    edges = spark.createDataFrame([(a, b, "reference", "ref:link", 1.0, 0, 0) for a, b in ((1, 2), (2, 3), (1, 4))], "from_id long, to_id long, category string, kind string, weight float, byte_offset long, created_at long")
+    e = Engine(spark, documents=docs, edges=edges, tombstones=spark.createDataFrame([(2, 1)], "doc_id long, tombstoned_at long"))
+    seed = spark.createDataFrame([(1,)], "doc_id long")
+    assert {r.doc_id for r in e.expand(seed, 2).collect()} == {1, 4} and {r.doc_id for r in e.reachable(1).collect()} == {4} and [r.doc_id for r in e.neighbours(seed).collect()] == [4]
+    assert e.graph_stats().first().edge_count == 1 and [r.doc_id for r in e.central("indegree").collect()] == [4]
+    from waymark.operators.graph import NoPath
+
+    with pytest.raises(NoPath):
+        e.shortest_path(1, 3)
+
+
+def test_process(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "index"))
+    event = "seq long, path string, kind string, from_path string, content binary"
+    first = e.process(spark.createDataFrame([(1, "/v/in/a.md", "Created", None, b"# A\n#one\n"), (2, "/v/b.md", "Created", None, b"# B\n"), (3, "/v/.git/c.md", "Created", None, b"x")], event), 1)
+    assert sorted((r.path, r.action) for r in first.collect()) == [("/v/.git/c.md", "skipped"), ("/v/b.md", "indexed"), ("/v/in/a.md", "indexed")]
+    a = e.inspect("/v/in/a.md").first().doc_id
+    got = e.process(spark.createDataFrame([(4, "/v/t.md", "Renamed", "/v/in/a.md", None), (5, "/v/out/test_a.md", "Renamed", "/v/t.md", None), (6, "/v/b.md", "Deleted", None, None)], event), 2)
+    assert {(r.path, r.action, r.doc_id) for r in got.collect() if r.action in ("renamed", "tombstoned")} >= {("/v/out/test_a.md", "renamed", a)} and e.inspect("/v/in/a.md").isEmpty()
+    moved = e.inspect("/v/out/test_a.md").first()
+    assert moved.doc_id == a and {"folder:/v/out", "convention:test", "tag:one"} <= set(moved["keys"]) and "folder:/v/in" not in moved["keys"] and e.status().first().total_documents == 1
+    again = e.process(spark.createDataFrame([(7, "/v/b.md", "Created", None, b"# B\n"), (8, "/v/out/test_a.md", "Modified", None, b"# A\n#one\n")], event), 3)
+    assert {r.path: r.action for r in again.collect()} == {"/v/b.md": "updated", "/v/out/test_a.md": "skipped"} and e.status().first().total_documents == 2

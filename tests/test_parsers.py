@@ -7,26 +7,26 @@ from waymark.sources.files import ignore_regex, ignored, parser_of
 from waymark.sources.parsers import chat, code, issue, markdown, parse_files, wiki
 
 NOTE = """---
-title: Simple
-tags: [work, rust]
+title: Harbour walk
+tags: [coast, boats]
 ---
-# Introduction
+# Tides
 
-See [[ProjectAlpha]] and [[ProjectBeta|the beta project]]. #inline-tag
+Low water, see [[MoonTable]] or [[OldPier|the pier behind the mill]]. #ebb-flow
 
-## Details
+## Moorings
 
-### Deep Section ###
+### North wall ###
 text
 """
 
 
 def test_markdown():
     p = markdown.parse("a.md", NOTE)
-    assert {"work", "rust", "inline-tag"} <= set(p.tags) and [(t, d) for t, d, _ in p.links] == [("ProjectAlpha", None), ("ProjectBeta", "the beta project")]
-    assert [(c[2], c[3], c[4]) for c in p.chunks] == [("frontmatter", None, 0), ("section", "Introduction", 1), ("section", "Details", 2), ("section", "Deep Section", 3)]
+    assert {"coast", "boats", "ebb-flow"} <= set(p.tags) and [(t, d) for t, d, _ in p.links] == [("MoonTable", None), ("OldPier", "the pier behind the mill")]
+    assert [(c[2], c[3], c[4]) for c in p.chunks] == [("frontmatter", None, 0), ("section", "Tides", 1), ("section", "Moorings", 2), ("section", "North wall", 3)]
     b = NOTE.encode()
-    assert b[p.chunks[1][0] :].startswith(b"# Introduction") and p.chunks[0][1] == p.chunks[1][0] and p.chunks[-1][1] == len(b) and b[p.links[0][2] :].startswith(b"[[ProjectAlpha")
+    assert b[p.chunks[1][0] :].startswith(b"# Tides") and p.chunks[0][1] == p.chunks[1][0] and p.chunks[-1][1] == len(b) and b[p.links[0][2] :].startswith(b"[[MoonTable")
     q = markdown.parse("b.md", "intro é\n\n```\n[[Fake]] #fake\n# not hidden\n```\n[[Real]] #real-tag\n#work/a/b\n")
     assert [t for t, _, _ in q.links] == ["Real"] and set(q.tags) == {"real-tag", "work", "work/a", "work/a/b"} and [c[2] for c in q.chunks] == ["body", "section"]
     assert markdown.parse("t.md", "- [ ] a\n- [x] b\n- [X] c\n").auto_type == "task" and markdown.parse("m.md", "".join(f"[[n{i}]]\n" for i in range(6))).auto_type == "moc"
@@ -75,11 +75,54 @@ def test_code():
     assert [(c[2], c[3], c[4], c[7]) for c in p.chunks] == [("constant", "LIMIT", 0, "public"), ("function", "test_one", 0, "public"), ("class", "Thing", 0, "public"), ("method", "_hidden", 1, "private")]
     assert PY.encode()[p.chunks[1][0] : p.chunks[1][1]].decode().startswith("@pytest") and p.chunks[1][5] == "async def test_one(a, b=2)"
     r = code.parse("a.rs", RUST)
-    assert [t for t, _, _ in r.links] == ["std"] and [(c[2], c[3], c[4], c[7]) for c in r.chunks] == [("class", "A", 0, "internal"), ("method", "<A as Tr>::m", 1, "public"), ("function", "works", 0, "private"), ("module", "inner", 0, "private"), ("constant", "K", 1, "public")] or r.chunks
-    assert {"lang:rust", "async:true", "kind:test"} <= set(r.tags)
+    assert [t for t, _, _ in r.links] == ["std"] and [(c[2], c[3], c[4], c[7]) for c in r.chunks] == [("class", "A", 0, "internal"), ("method", "<A as Tr>::m", 1, "public"), ("function", "works", 0, "private"), ("module", "inner", 0, "private"), ("constant", "K", 1, "public")]
+    assert {"lang:rust", "kind:struct", "kind:method", "async:true", "kind:test"} <= set(r.tags) and not {"kind:class", "kind:module", "kind:constant"} & set(r.tags)
     t = code.parse("a.ts", TS)
     assert [x for x, _, _ in t.links] == ["@scope/pkg"] and [(c[2], c[3], c[4]) for c in t.chunks] == [("function", "go", 0), ("function", "f", 0), ("class", "C", 0), ("method", "run", 1), ("class", "I", 0)]
-    assert code.parse("x.py", "def (").chunks == [] and code.doc_type("Cargo.toml") == "config_file" and code.doc_type("src/a.rs") == "source_file"
+    assert code.parse("x.py", "def (").chunks == [] and code.doc_type("Makefile") is None and code.doc_type("tests") == "test_file" and code.doc_type("Cargo.toml") == "config_file" and code.doc_type("src/a.rs") == "source_file"
+
+
+def shown(p):
+    return [(c[2], c[3], c[4], c[7]) for c in p.chunks]
+
+
+def test_rust_layouts():
+    p = code.parse("a.rs", "pub struct S; #[derive(Debug)] pub enum Tint { Warm, Cold } pub trait Draw { fn draw(&self, t: Tint); }\nimpl S { pub fn make() -> Self { S } const N: u8 = 1; fn more(&mut self) { self.n += 1; } }\nimpl<T> Draw for Wrap<T> { fn draw(&self, t: Tint) {} }\n")
+    assert shown(p) == [("class", "S", 0, "public"), ("class", "Tint", 0, "public"), ("class", "Draw", 0, "public"), ("method", "S::make", 1, "public"), ("method", "S::more", 1, "private"), ("method", "<Wrap<T> as Draw>::draw", 1, "private")]
+    assert [t for t in p.tags if t.startswith("kind:")] == ["kind:struct", "kind:enum", "kind:trait", "kind:method"]
+    p = code.parse("b.rs", "pub const MOST: usize = 9; static SEEN: u32 = 0;\nmod outer { pub fn inner_fn() {} mod deep { fn low() {} } }\nuse std::io::{self, Read}; use serde::Deserialize; use super::x;\npub fn open(p: &str) -> String { format!(\"{}; fn no() {{}}\", p) }\n")
+    assert shown(p) == [("constant", "MOST", 0, "public"), ("constant", "SEEN", 0, "private"), ("module", "outer", 0, "private"), ("function", "inner_fn", 1, "public"), ("module", "deep", 1, "private"), ("function", "low", 2, "private"), ("function", "open", 0, "public")]
+    assert [t for t, _, _ in p.links] == ["std", "serde"] and "-> String" in p.chunks[-1][5]
+    dashes = "\u2500" * 120
+    assert [c[3] for c in code.parse("c.rs", f"//! {dashes}\n\nfn tiny() {{}}\n\n// {dashes}\nasync fn later() {{}}\n").chunks] == ["tiny", "later"]
+    assert "kind:test" in code.parse("d.rs", "#[tokio::test]\nasync fn waits() { let x = 1; }\n").tags and "kind:test" not in code.parse("d.rs", "pub fn latest() -> u8 { 4 }\n").tags
+
+
+def test_typescript_layouts():
+    p = code.parse("a.ts", "export interface Shape { sides: number; }\nexport type Id = string; interface Own { x: boolean; }\nexport enum Way { In, Out }\nexport const load = async (u: string) => { const r = await get(u); return r; };\nconst few = () => 42; const LIMIT = 3;\n")
+    assert shown(p) == [("class", "Shape", 0, "public"), ("constant", "Id", 0, "public"), ("class", "Own", 0, "private"), ("class", "Way", 0, "public"), ("function", "load", 0, "public"), ("function", "few", 0, "private"), ("constant", "LIMIT", 0, "private")]
+    assert {"kind:interface", "kind:type", "kind:enum", "kind:function", "async:true"} <= set(p.tags) and "kind:constant" not in p.tags
+    p = code.parse("b.ts", "export class Store {\n  constructor(private db: Db) {}\n  async find(id: string): Promise<X> { return this.db.find(id); } drop(id: string): void { this.db.drop(id); }\n}\n")
+    assert shown(p) == [("class", "Store", 0, "public"), ("method", "constructor", 1, "public"), ("method", "find", 1, "public"), ("method", "drop", 1, "public")]
+    p = code.parse("c.tsx", "import { u } from 'react';\nimport x from 'express';\nimport { y } from './near';\nimport { z } from '@scope/pkg';\nexport function App({ name }: Props) { return <div>Hi, {name}!</div>; }\n")
+    assert [t for t, _, _ in p.links] == ["react", "express", "@scope/pkg"] and shown(p) == [("function", "App", 0, "public")]
+
+
+def test_python_layouts():
+    p = code.parse("a.py", "import sys\nfrom collections.abc import Iterable\nfrom .near import x\nMOST = 9\n_OWN = True\nlower = 1\n\ndef greet(n: str) -> str:\n    return n\n\nclass Users:\n    def __init__(self):\n        pass\n\n    async def find(self):\n        pass\n")
+    want = [("constant", "MOST", 0, "public"), ("constant", "_OWN", 0, "private"), ("function", "greet", 0, "public"), ("class", "Users", 0, "public"), ("method", "__init__", 1, "private"), ("method", "find", 1, "public")]
+    assert shown(p) == want and [t for t, _, _ in p.links] == ["sys", "collections"] and "kind:constant" not in p.tags
+    broken = code.parse("a.py", p.text + "\ndef é(:\n    x = (\n\ndef test_last():\n    return 1\n")
+    assert shown(broken) == [*want, ("function", "é", 0, "public"), ("function", "test_last", 0, "public")] and [t for t, _, _ in broken.links] == ["sys", "collections"] and {"async:true", "kind:test", "kind:class"} <= set(broken.tags)
+    assert [c[:2] for c in broken.chunks[:5]] == [c[:2] for c in p.chunks[:5]] and broken.text.encode()[broken.chunks[-1][0] :].startswith(b"def test_last")
+
+
+def test_register():
+    code.register("go", lambda text, out: out.chunk(0, len(text), "function", "main", 0, None, "go", "public"))
+    try:
+        assert shown(code.parse("m.go", "func main() {}")) == [("function", "main", 0, "public")]
+    finally:
+        del code._PARSERS["go"]
 
 
 def test_records():

@@ -31,6 +31,8 @@ TOPICS: dict[str, str] = {
 #: Languages by extension, configuration files by name.
 LANGUAGES = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "py": "python", "js": "javascript", "jsx": "javascript", "go": "go", "java": "java"}
 CONFIG_NAMES = ["config.toml", "config.yaml", "config.yml", "config.json", ".eslintrc.json", "tsconfig.json", "cargo.toml", "package.json"]
+#: Extensions and stems of configuration files among code.
+CONFIG_EXTENSIONS, CONFIG_STEMS = ("toml", "yaml", "yml", "json", "ini", "cfg"), ("Cargo", "Makefile", "Dockerfile")
 TAGGERS = ("size", "complexity", "convention", "topic")
 
 
@@ -78,11 +80,11 @@ def language_of(path: Column) -> Column:
 
 
 def code_type(path: Column) -> Column:
-    """test_file, config_file or source_file by name; null without a stem."""
+    """test_file, config_file or source_file by the name; null where there is no stem, or no extension and no test's name."""
     stem, ext = file_stem(path), extension(path)
     test = stem.rlike(r"(_test|_tests|_spec|\.test|\.spec)$") | stem.startswith("test_") | (stem == "tests") | F.contains(path, F.lit("/tests/")) | F.contains(path, F.lit("/test/"))
-    config = ext.isin("toml", "yaml", "yml", "json", "ini", "cfg") | stem.isin("Cargo", "Makefile", "Dockerfile") | stem.startswith(".")
-    return F.when(stem == "", None).when(test, "test_file").when(config, "config_file").otherwise("source_file")
+    config = ext.isin(*CONFIG_EXTENSIONS) | stem.isin(*CONFIG_STEMS) | stem.startswith(".")
+    return F.when(stem == "", None).when(test, "test_file").when(F.coalesce(ext, F.lit("")) == "", None).when(config, "config_file").otherwise("source_file")
 
 
 def infer_source(tags: Column) -> Column:

@@ -74,13 +74,14 @@ class EqualityDeleteTable:
         return self.table.commit(added, base)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        data, deletes = self.table.read("data", version), self.table.read("deletes", version)
+        at = self.table.version() if version is None else version  # data and deletes of one version, whoever commits meanwhile
+        data, deletes = self.table.read("data", at), self.table.read("deletes", at)
         return None if data is None else merge_on_read(data, deletes, self.keys)
 
     def compact(self) -> int:
         """Keep of each key the live row and the last delete: late deliveries are still judged right."""
         base = self.table.version()
-        data, deletes = self.table.read("data"), self.table.read("deletes")
+        data, deletes = self.table.read("data", base), self.table.read("deletes", base)
         if data is None:
             return base
         last = deletes.groupBy(*self.keys).agg(F.max("_seq").alias("_seq"))

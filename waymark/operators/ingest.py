@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.text import parent_folder
 from waymark.operators.incremental import newest_per_key
+from waymark.runtime import cut
 
 #: Directories that a walk never enters.
 PRUNED = ("target", "node_modules", "__pycache__", ".git", ".hg", ".svn", "dist", "build", ".tox", ".mypy_cache", ".pytest_cache")
@@ -61,13 +62,33 @@ def action_counts(actions: DataFrame) -> DataFrame:
     return actions.agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("indexed", "updated", "skipped", "tombstoned")))
 
 
-def event_actions(events: DataFrame, registry: DataFrame) -> DataFrame:
+def rename_origins(moved: DataFrame, registry: DataFrame) -> DataFrame:
+    """path, doc_id of every path that a registered document came to by the renames (seq, path, from_path), over as many steps as it took.
+
+    A step follows an earlier rename to where this one began, so what is renamed there
+    and back, or onto a path that another left, is told by the order of the events.
+    """
+    own = registry.groupBy(F.col("file_path").alias("_file")).agg(F.max("doc_id").alias("doc_id"))
+    steps = cut(newest_per_key(moved, ["path", "seq"], [F.lit(0)], ["from_path"]))
+    hops = cut(steps.select("path", F.col("seq").alias("last"), F.col("seq").alias("_at"), F.col("from_path").alias("_from")))
+    while True:  # one round a step of the longest chain in the batch
+        back = steps.select(F.col("path").alias("_p"), F.col("seq").alias("_s"), F.col("from_path").alias("_f"))
+        j = hops.join(back, (hops._from == back._p) & (back._s < hops._at), "left")
+        j = cut(j.groupBy("path", "last").agg(F.max(F.struct("_s", "_f")).alias("_b"), F.max(F.struct("_at", "_from")).alias("_h")))
+        hops = cut(j.select("path", "last", F.coalesce("_b._s", "_h._at").alias("_at"), F.coalesce("_b._f", "_h._from").alias("_from")))
+        if j.where("_b._s IS NOT NULL").isEmpty():
+            break
+    found = hops.join(own, hops._from == own._file)
+    return found.groupBy("path").agg(F.max(F.struct("last", "doc_id")).alias("_x")).select("path", "_x.doc_id")
+
+
+def event_actions(events: DataFrame, registry: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
     """The outcome of change events (seq, path, kind, from_path, content_hash): path, doc_id, action.
 
     Per path the last event counts; a rename deletes its old path and creates the new one
-    with the document's id. created or modified: indexed if unknown, skipped if the hash
-    is the same, else updated; deleted: tombstoned, or ignored if unknown. Events at
-    pruned paths are skipped.
+    with the document's id, over chains of renames too. created or modified: indexed if
+    unknown, skipped if the hash is the same and the document isn't tombstoned, else
+    updated; deleted: tombstoned, or ignored if unknown. Events at pruned paths are skipped.
     """
     e = events.withColumn("kind", F.lower("kind"))
     moved = e.where("kind = 'renamed' AND from_path IS NOT NULL")
@@ -75,9 +96,11 @@ def event_actions(events: DataFrame, registry: DataFrame) -> DataFrame:
     last = newest_per_key(flat, ["path"], [F.col("seq")], ["kind", "from_path", "content_hash"])
     r = registry.groupBy("file_path").agg(F.max(F.struct("doc_id", "blake3_hash")).alias("_r"))
     here = r.select(F.col("file_path").alias("_path"), F.col("_r.doc_id").alias("doc_id"), F.col("_r.blake3_hash").alias("_old"))
-    there = r.select(F.col("file_path").alias("_from"), F.col("_r.doc_id").alias("_from_id"))
-    j = last.join(here, last.path == here._path, "left").join(there, last.from_path == there._from, "left")
-    same = F.col("_old").eqNullSafe(F.col("content_hash")) & F.col("_path").isNotNull()
+    there = rename_origins(moved.select("seq", "path", "from_path"), registry).select(F.col("path").alias("_to"), F.col("doc_id").alias("_from_id"))
+    gone = registry.select("doc_id").where(F.lit(False)) if tombstones is None else tombstones.select("doc_id")
+    here = here.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), here.doc_id == F.col("_gone"), "left")
+    j = last.join(here, last.path == here._path, "left").join(there, last.path == there._to, "left")
+    same = F.col("_old").eqNullSafe(F.col("content_hash")) & F.col("_path").isNotNull() & F.col("_gone").isNull()
     action = (
         F.when(is_pruned(F.col("path")), "skipped")
         .when(F.col("kind") == "moved_away", "moved_away")

@@ -193,6 +193,7 @@ def rule_tagger(spark, d):
 @INDEX.add("code_types", r"""
 SELECT doc_id, CASE WHEN stem = '' THEN NULL
   WHEN regexp_matches(stem, '(_test|_tests|_spec|\.test|\.spec)$') OR starts_with(stem, 'test_') OR stem = 'tests' OR contains(file_path, '/tests/') OR contains(file_path, '/test/') THEN 'test_file'
+  WHEN ext = '' THEN NULL
   WHEN ext IN ('toml', 'yaml', 'yml', 'json', 'ini', 'cfg') OR stem IN ('Cargo', 'Makefile', 'Dockerfile') OR starts_with(stem, '.') THEN 'config_file' ELSE 'source_file' END AS code_type
 FROM (SELECT doc_id, file_path, regexp_replace(f, '(.)\.[^.]*$', '\1') AS stem, regexp_extract(f, '^.+\.([^.]*)$', 1) AS ext FROM (SELECT *, regexp_extract(file_path, '([^/]*)$', 1) AS f FROM documents))""")
 def code_types(spark, d):

@@ -6,13 +6,17 @@ over a file table in Arrow batches; a file that can't be parsed has an error ins
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from waymark.functions.keys import RuleTagger
+
 PARSED = (
     "file_path string, parser string, text string, chunks array<struct<byte_start:long,byte_end:long,kind:string,label:string,depth:int,signature:string,language:string,visibility:string>>, "
     "tags array<string>, links array<struct<target:string,display:string,byte_offset:long>>, auto_type string, frontmatter string, error string"
@@ -70,20 +74,20 @@ def parse_files(files: DataFrame, extra: dict[str, Parser] | None = None) -> Dat
     return files.select("file_path", "content", "parser").mapInPandas(run, PARSED)
 
 
-def keys_of(parsed: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """doc_id, bitmap_key of parsed files: tags, links, imports of code, folder, source, type and visibility."""
-    from waymark.functions.keys import convention_tags, infer_source, size_tag, topic_tags, with_namespace
+def keys_of(parsed: DataFrame, doc_ids: DataFrame, rules: Sequence[RuleTagger] = ()) -> DataFrame:
+    """doc_id, bitmap_key of parsed files: tags, links, imports of code, folder, source, type, visibility, and what the taggers and ``rules`` add."""
+    from waymark.functions.keys import complexity_tag, convention_tags, infer_source, size_tag, topic_tags, with_namespace
     from waymark.functions.text import parent_folder
 
     p = parsed.where("error IS NULL").join(doc_ids.select("file_path", "doc_id"), "file_path")
     targets = F.transform("links", lambda x: x.target)
-    source = F.when(F.col("parser").isin("wiki", "issue", "chat"), F.col("parser")).otherwise(infer_source(F.col("tags")))
+    source = infer_source(F.col("tags"))
     imports = F.when(source == "code", F.transform(targets, lambda t: F.concat(F.lit("import:"), t))).otherwise(F.array().cast("array<string>"))
     seen = F.array_distinct(F.filter(F.transform("chunks", lambda c: c.visibility), lambda v: v.isNotNull()))
-    own = F.array_compact(F.array(F.concat(F.lit("folder:"), parent_folder(F.col("file_path"))), F.concat(F.lit("source:"), source), F.concat(F.lit("type:"), F.col("auto_type")), size_tag(F.col("text"))))
+    own = F.array_compact(F.array(F.concat(F.lit("folder:"), parent_folder(F.col("file_path"))), F.concat(F.lit("source:"), source), F.concat(F.lit("type:"), F.col("auto_type")), size_tag(F.col("text")), complexity_tag(F.size("chunks"), F.array_max(F.transform("chunks", lambda c: c.depth)))))
     every = F.concat(
         with_namespace(F.col("tags")), F.transform(targets, lambda t: F.concat(F.lit("link:"), t)), imports, own, F.transform(seen, lambda v: F.concat(F.lit("visibility:"), v)),
-        topic_tags(F.col("text")), convention_tags(F.col("file_path")),
+        topic_tags(F.col("text")), convention_tags(F.col("file_path")), *(with_namespace(r.tags(F.col("file_path"), F.col("text"), F.col("tags"))) for r in rules),
     )
     return p.select("doc_id", F.explode(F.array_distinct(every)).alias("bitmap_key"))
 
@@ -100,6 +104,5 @@ def link_rows(parsed: DataFrame, doc_ids: DataFrame) -> DataFrame:
     from waymark.operators.graph import edge_kind
 
     p = parsed.where("error IS NULL").join(doc_ids.select("file_path", "doc_id"), "file_path")
-    source = F.when(F.col("parser").isin("wiki", "issue", "chat"), F.col("parser")).otherwise(infer_source(F.col("tags")))
-    category, kind = edge_kind(source)
+    category, kind = edge_kind(infer_source(F.col("tags")))
     return p.select(F.col("doc_id").alias("from_id"), category.alias("category"), kind.alias("kind"), F.explode("links").alias("l")).select("from_id", F.col("l.target").alias("target_ref"), "category", "kind", F.col("l.byte_offset").alias("byte_offset"))

@@ -1,15 +1,19 @@
 """Source code: Python by its own grammar, Rust and TypeScript by declarations and braces.
 
 No grammar library is at hand for the latter, so they are scanned: strings and comments
-are blanked, declarations found at the start of lines, and their ends by matching braces.
+are blanked, declarations found where a statement may begin (at the start of a line, after
+a brace, a semicolon or an attribute), and their ends by matching braces. Python with a
+syntax error is scanned too, by its declarations and their indentation. ``register``
+adds a parser for further extensions.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Callable
 
-from waymark.functions.keys import LANGUAGES
+from waymark.functions.keys import CONFIG_EXTENSIONS, CONFIG_STEMS, LANGUAGES
 from waymark.sources.parsers import Parsed
 
 
@@ -18,22 +22,23 @@ def language(path: str) -> str:
 
 
 def doc_type(path: str) -> str | None:
+    """test_file, config_file or source_file by the name; None where there is no stem, or no extension and no test's name."""
     name = path.rsplit("/", 1)[-1]
-    stem, dot, ext = name.rpartition(".") if "." in name[1:] else (name, "", "")
+    stem, _, ext = name.rpartition(".") if "." in name[1:] else (name, "", "")
     if not stem:
         return None
     if stem.endswith(("_test", "_tests", "_spec", ".test", ".spec")) or stem.startswith("test_") or stem == "tests" or "/tests/" in path or "/test/" in path:
         return "test_file"
-    if ext in ("toml", "yaml", "yml", "json", "ini", "cfg") or stem in ("Cargo", "Makefile", "Dockerfile") or stem.startswith("."):
-        return "config_file"
-    return "source_file"
+    if not ext:
+        return None
+    return "config_file" if ext in CONFIG_EXTENSIONS or stem in CONFIG_STEMS or stem.startswith(".") else "source_file"
 
 
 def _python(text: str, out: Parsed) -> None:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
-        return
+    except (SyntaxError, ValueError, RecursionError):
+        return _python_lines(text, out)
     lines = [0]
     for line in text.encode().splitlines(keepends=True):
         lines.append(lines[-1] + len(line))
@@ -67,13 +72,55 @@ def _python(text: str, out: Parsed) -> None:
                 out.links.append((n.names[0].name.split(".")[0], None, offset(n.lineno, n.col_offset)))
             elif isinstance(n, ast.ImportFrom) and not n.level and n.module:
                 out.links.append((n.module.split(".")[0], None, offset(n.lineno, n.col_offset)))
-            elif isinstance(n, ast.Assign) and not depth and isinstance(n.targets[0], ast.Name) and re.fullmatch(r"[A-Z][A-Z0-9_]*", n.targets[0].id):
+            elif isinstance(n, ast.Assign) and not depth and isinstance(n.targets[0], ast.Name) and _constant(n.targets[0].id):
                 out.chunk(offset(n.lineno, n.col_offset), offset(n.end_lineno, n.end_col_offset), "constant", n.targets[0].id, depth, None, "python", public(n.targets[0].id))
-                out.tag("kind:constant")
 
     visit(tree.body, 0)
 
 
+def _constant(name: str) -> bool:
+    return all(c.isupper() or c == "_" or c.isdigit() for c in name)
+
+
+_PY = re.compile(r"^(?P<indent>[ \t]*)(?:(?P<async>async[ \t]+)?(?P<kw>def|class)[ \t]+(?P<name>\w+)|(?P<const>\w+)[ \t]*(?::[^=\n]*)?=(?!=)|import[ \t]+(?P<module>\w+)|from[ \t]+(?P<source>\w[\w.]*)[ \t]+import\b)", re.M)
+
+
+def _python_lines(text: str, out: Parsed) -> None:
+    """What the grammar refuses: declarations by their lines; one ends before the next line that isn't blank and stands no deeper."""
+    size = lambda s: len(s.encode())
+    open_: list[tuple[int, str]] = []  # indentation and keyword of what encloses a line
+    for m in _PY.finditer(text):
+        indent = len(m["indent"].expandtabs())
+        while open_ and open_[-1][0] >= indent:
+            open_.pop()
+        start = m.end("indent")
+        if m["module"] or m["source"]:
+            out.links.append(((m["module"] or m["source"]).split(".")[0], None, size(text[:start])))
+            continue
+        if m["const"]:
+            if not open_ and not indent and _constant(m["const"]):
+                end = text.find("\n", start)
+                out.chunk(size(text[:start]), size(text[: end if end >= 0 else len(text)]), "constant", m["const"], 0, None, "python", "private" if m["const"].startswith("_") else "public")
+            continue
+        inside = [kw for _, kw in open_]
+        open_.append((indent, m["kw"]))
+        if "def" in inside:
+            continue
+        end = len(text)
+        for line in re.finditer(r"^([ \t]*)[^\s#]", text[m.end() :], re.M):
+            if line.start() and len(line[1].expandtabs()) <= indent:
+                end = m.end() + line.start()
+                break
+        kind = "class" if m["kw"] == "class" else "method" if inside else "function"
+        head = text[start : text.find("\n", start) if "\n" in text[start:] else len(text)].strip().rstrip(":").strip()
+        out.chunk(size(text[:start]), size(text[:end].rstrip()), kind, m["name"], len(inside), head, "python", "private" if m["name"].startswith("_") else "public")
+        out.tag(f"kind:{kind}")
+        if m["async"]:
+            out.tag("async:true")
+        if m["name"].startswith("test_"):
+            out.tag("kind:test")
+
+
 _HIDE = re.compile(rb'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])\'|`(?:\\.|[^`\\])*`', re.S)
 _TS_HIDE = re.compile(rb'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`', re.S)
 
@@ -105,7 +152,10 @@ def _close(b: bytes, at: int) -> tuple[int, int]:
     return -1, len(b)
 
 
-_RUST = re.compile(rb"^[ \t]*(?P<vis>pub(?:\([^)]*\))?\s+)?(?:(?:default|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*(?P<async>async\s+)?(?:unsafe\s+)?(?P<kw>fn|struct|enum|trait|mod|const|static|impl|use)\b(?P<rest>[^\n{;]*)", re.M)
+_BEGIN = rb"(?:^|(?<=[{};\]]))[ \t]*"
+_RUST = re.compile(_BEGIN + rb"(?P<vis>pub(?:\([^)]*\))?\s+)?(?:(?:default|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*(?P<async>async\s+)?(?:unsafe\s+)?(?P<kw>fn|struct|enum|trait|mod|const|static|impl|use)\b(?P<rest>[^\n{;]*)", re.M)
+#: The kind of chunk of each declaration, and its tag.
+_RUST_TAG = {"fn": "function", "struct": "struct", "enum": "enum", "trait": "trait"}
 _RUST_KIND = {"fn": "function", "struct": "class", "enum": "class", "trait": "class", "mod": "module", "const": "constant", "static": "constant"}
 
 
@@ -136,7 +186,7 @@ def _rust(b: bytes, out: Parsed) -> None:
                     visit(body + 1, end - 1, depth + 1, name)
                 continue
             name = re.match(r"(?:mut\s+)?(\w+)", rest)
-            if name is None:
+            if name is None or owner and kw != "fn":
                 continue
             vis = m["vis"].decode() if m["vis"] else ""
             visibility = "internal" if "crate" in vis else "public" if vis else "private"
@@ -145,7 +195,8 @@ def _rust(b: bytes, out: Parsed) -> None:
                 signature = signature.split("\n")[0]
             kind = "method" if kw == "fn" and owner else _RUST_KIND[kw]
             out.chunk(start, end, kind, f"{owner}::{name[1]}" if owner else name[1], depth, signature, "rust", visibility)
-            out.tag(f"kind:{kind}")
+            if kw in _RUST_TAG:
+                out.tag("kind:method" if owner else f"kind:{_RUST_TAG[kw]}")
             if kw == "fn":
                 if m["async"]:
                     out.tag("async:true")
@@ -157,8 +208,8 @@ def _rust(b: bytes, out: Parsed) -> None:
     visit(0, len(b), 0, None)
 
 
-_TS = re.compile(rb"^[ \t]*(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?P<async>async\s+)?(?P<kw>function\*?|class|interface|type|enum|const|let|var|import)\b(?P<rest>[^\n]*)", re.M)
-_TS_METHOD = re.compile(rb"^[ \t]*(?:(?:public|private|protected|static|readonly|override|get|set)\s+)*(?P<async>async\s+)?\*?(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\([^;{}]*\)[^;{}]*\{", re.M)
+_TS = re.compile(_BEGIN + rb"(?P<export>export\s+(?:default\s+)?)?(?:declare\s+)?(?:abstract\s+)?(?P<async>async\s+)?(?P<kw>function\*?|class|interface|type|enum|const|let|var|import)\b(?P<rest>[^\n]*)", re.M)
+_TS_METHOD = re.compile(_BEGIN + rb"(?:(?:public|private|protected|static|readonly|override|get|set)\s+)*(?P<async>async\s+)?\*?(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^>(]*>)?\([^;{}]*\)[^;{}]*\{", re.M)
 _TS_KIND = {"function": "function", "class": "class", "interface": "class", "enum": "class", "type": "constant"}
 
 
@@ -167,16 +218,16 @@ def _typescript(b: bytes, out: Parsed, name_of_language: str) -> None:
     at = 0
     while m := _TS.search(hidden, at):
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        kw, rest = m["kw"].decode().rstrip("*"), m["rest"].decode("utf-8", "replace").strip()
         body, end = _close(hidden, m.end("kw"))
-        at = max(end, m.end())
+        kw, rest = m["kw"].decode().rstrip("*"), hidden[m.start("rest") : min(m.end("rest"), end)].decode("utf-8", "replace").strip()
+        at = max(end, m.start("rest"))
         if kw == "import":
             line = b[start : b.find(b"\n", m.end()) if b.find(b"\n", m.end()) > 0 else len(b)]
             target = re.search(rb"""(?:from\s+|import\s+|\(\s*)['"]([^'"]+)['"]""", line) or re.search(rb"""from\s+['"]([^'"]+)['"]""", b[start:end])
             if target and not target[1].startswith((b".", b"/")):
                 parts = target[1].decode().split("/")
                 out.links.append(("/".join(parts[:2]) if parts[0].startswith("@") else parts[0], None, start))
-            at = max(at, start + len(line)) if b";" not in line else m.end()
+            at = max(at, start + len(line)) if b";" not in line else end
             continue
         name = re.match(r"([A-Za-z_$][\w$]*)", rest)
         if name is None:
@@ -184,7 +235,8 @@ def _typescript(b: bytes, out: Parsed, name_of_language: str) -> None:
         kind = _TS_KIND.get(kw) or ("function" if "=>" in hidden[m.start() : body if body >= 0 else end].decode("utf-8", "replace") or re.search(r"=\s*(?:async\s+)?function\b", rest) else "constant")
         signature = b[start : body if body >= 0 and kind != "constant" else end].decode("utf-8", "replace").strip()
         out.chunk(start, end, kind, name[1], 0, signature if kind == "function" else signature.split("\n")[0], name_of_language, "public" if m["export"] else "private")
-        out.tag(f"kind:{kind}")
+        if kind != "constant" or kw == "type":
+            out.tag("kind:function" if kind == "function" else f"kind:{kw}")
         if m["async"] or re.search(r"=\s*async\b", rest):
             out.tag("async:true")
         if kw == "class" and body >= 0:
@@ -202,15 +254,22 @@ def _typescript(b: bytes, out: Parsed, name_of_language: str) -> None:
                     out.tag("async:true")
 
 
+#: Parsers of languages by name, (text, what it fills); see ``register``.
+_PARSERS: dict[str, Callable[[str, Parsed], None]] = {
+    "python": _python, "rust": lambda text, out: _rust(text.encode(), out), "typescript": lambda text, out: _typescript(text.encode(), out, "typescript"), "javascript": lambda text, out: _typescript(text.encode(), out, "javascript"),
+}
+
+
+def register(name: str, parser: Callable[[str, Parsed], None]) -> None:
+    """Let ``parser`` fill in chunks, tags and links of the language ``name`` (see LANGUAGES), in this process and those that unpickle it."""
+    _PARSERS[name] = parser
+
+
 def parse(path: str, text: str) -> Parsed:
     out = Parsed(text)
     lang = language(path)
     out.tag(f"lang:{lang}")
-    if lang == "python":
-        _python(text, out)
-    elif lang == "rust":
-        _rust(text.encode(), out)
-    elif lang in ("typescript", "javascript"):
-        _typescript(text.encode(), out, lang)
+    if lang in _PARSERS:
+        _PARSERS[lang](text, out)
     out.auto_type = doc_type(path)
     return out

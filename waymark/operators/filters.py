@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.plans.filter_dsl import And, Filter, Key, Not, Or, leaf_keys, parse_filter
@@ -83,21 +83,24 @@ def hydrate(ids: DataFrame, documents: DataFrame, chunks: DataFrame, filter_keys
 
 
 def catalog(doc_keys: DataFrame, prefix: str | None = None) -> DataFrame:
-    """bitmap_key, category and cardinality of every key, reserved ones left out."""
+    """bitmap_key, category and cardinality of every key, reserved ones left out; a key table has a key of a document once."""
     k = doc_keys.where(~F.col("bitmap_key").isin("__all_docs__", "__tombstone__"))
     k = k if prefix is None else k.where(F.col("bitmap_key").startswith(prefix))
-    return k.groupBy("bitmap_key").agg(F.count_distinct("doc_id").alias("cardinality")).select("bitmap_key", F.substring_index("bitmap_key", ":", 1).alias("category"), "cardinality")
+    return k.groupBy("bitmap_key").agg(F.count("doc_id").alias("cardinality")).select("bitmap_key", F.substring_index("bitmap_key", ":", 1).alias("category"), "cardinality")
 
 
 def jaccard_with(doc_keys: DataFrame, key: str) -> DataFrame:
-    """Every other key that shares a document with ``key``: n_both, n_either, jaccard. One pass and no pairs."""
-    mine = doc_keys.where(F.col("bitmap_key") == key).select("doc_id").distinct()
-    both = doc_keys.join(mine, "doc_id", "left_semi").groupBy("bitmap_key").agg(F.count("*").alias("n_both"))
-    size = catalog(doc_keys).select(F.col("bitmap_key").alias("_key"), "cardinality")
-    n = mine.agg(F.count("*")).scalar()
-    out = both.where(F.col("bitmap_key") != key).join(size, F.col("bitmap_key") == F.col("_key"))
-    either = F.col("cardinality") + n - F.col("n_both")
-    return out.select("bitmap_key", "n_both", either.alias("n_either"), (F.col("n_both") / either).alias("jaccard"))
+    """Every other key that shares a document with ``key``: n_both, n_either, jaccard.
+
+    One scan marks the rows of documents that have the key, one conditional count per key
+    gives both sizes; the key's own row holds its size. No pairs are made.
+    """
+    mine = doc_keys.where(F.col("bitmap_key") == key).select(F.col("doc_id").alias("_mine"))
+    marked = doc_keys.join(mine, F.col("doc_id") == F.col("_mine"), "left")
+    sizes = marked.groupBy("bitmap_key").agg(F.count("_mine").alias("n_both"), F.count("*").alias("_n"))
+    own = mine.agg(F.count("*")).scalar()
+    either = F.col("_n") + own - F.col("n_both")
+    return sizes.where((F.col("bitmap_key") != key) & (F.col("n_both") > 0)).select("bitmap_key", "n_both", either.alias("n_either"), (F.col("n_both") / either).alias("jaccard"))
 
 
 def jaccard(doc_keys: DataFrame, a: str, b: str) -> DataFrame:
@@ -142,7 +145,3 @@ def key_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = old.select("doc_id", "bitmap_key").distinct(), new.select("doc_id", "bitmap_key").distinct()
     both = a.withColumn("_o", F.lit(1)).join(b.withColumn("_n", F.lit(1)), ["doc_id", "bitmap_key"], "full_outer")
     return both.where("_o IS NULL OR _n IS NULL").select("doc_id", "bitmap_key", F.when(F.col("_o").isNull(), "added").otherwise("removed").alias("change"))
-
-
-def latest_rank(keys: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

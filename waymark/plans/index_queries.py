@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from waymark.functions import keys, text
@@ -10,6 +12,7 @@ from waymark.operators import filters, graph, ingest, vectors
 from waymark.operators.changefeed import whole_seconds
 from waymark.operators.incremental import current_fetches
 from waymark.plans.filter_dsl import And, Key, Not, from_list, leaf_keys, parse_filter
+from waymark.plans import stored
 from waymark.plans.registry import Registry
 from waymark.runtime import spread, table
 
@@ -39,8 +42,9 @@ def _documents(spark, d):
 
 
 def _keys(spark, d, *names):
-    """The key table, or its part that the given keys are in."""
-    return keys.document_keys(_documents(spark, d), namespaces=keys.namespaces_of(names) if names else None)
+    """The stored key table, or its part that the given keys or namespaces are in."""
+    k = stored.doc_keys(spark, d)
+    return k if not names else k.where(reduce(lambda a, b: a | b, (F.col("bitmap_key").startswith(f"{n}:") for n in sorted(keys.namespaces_of(names)))))
 
 
 def _universe(spark, d):
@@ -596,3 +600,62 @@ def event_windows(spark, d):
     from waymark.streaming.feeds import event_counts
 
     return event_counts(table(spark, d, "events"))
+
+
+_NOTES_SQL = "notes AS (SELECT * FROM documents WHERE source_type IN ('obsidian', 'code') AND text IS NOT NULL), dead AS (SELECT DISTINCT doc_id FROM tombstones WHERE doc_id IS NOT NULL), live AS (SELECT * FROM notes WHERE doc_id NOT IN (FROM dead))"
+
+
+@INDEX.add("index_run", f"WITH {_NOTES_SQL} SELECT count(*) AS indexed, 0 AS updated, 0 AS skipped, 0 AS tombstoned FROM notes")
+def index_run(spark, d):
+    """The first run over all notes and code."""
+    return stored.Indexed(spark, d).run(1)
+
+
+@INDEX.add("index_rerun", f"WITH {_NOTES_SQL} SELECT 0 AS indexed, 0 AS updated, count(*) FILTER (WHERE doc_id NOT IN (FROM dead)) AS skipped, count(*) FILTER (WHERE doc_id IN (FROM dead)) AS tombstoned FROM notes")
+def index_rerun(spark, d):
+    """A second run, in which the documents that tombstones name are gone."""
+    return stored.Indexed(spark, d).run(2)
+
+
+@INDEX.add("index_documents", f"WITH {_NOTES_SQL} SELECT file_path, source_type, lower(sha256(text)) AS content_hash FROM live")
+def index_documents(spark, d):
+    """What the index holds of its live documents."""
+    t = stored.Indexed(spark, d).engine.tables.pinned()
+    return t.documents.join(t.tombstones.select("doc_id"), "doc_id", "left_anti").select("file_path", "source_type", F.lower(F.hex("blake3_hash")).alias("content_hash"))
+
+
+@INDEX.add("search_index", f"WITH {_NOTES_SQL} SELECT file_path FROM live WHERE source_type = 'code' AND strlen(text) > 1023 OR source_type = 'obsidian' AND strlen(text) <= 1023")
+def search_index(spark, d):
+    """A filter over the index, hydrated whole."""
+    return stored.Indexed(spark, d).engine.search("(source:code AND NOT size:small) OR (source:obsidian AND size:small)", limit=None).select("file_path")
+
+
+@INDEX.add("search_page", f"WITH {_NOTES_SQL}, numbered AS (SELECT doc_id, row_number() OVER (ORDER BY file_path) AS n FROM notes) SELECT file_path, (SELECT count(*) FROM live WHERE source_type = 'code') AS total_matching FROM live JOIN numbered USING (doc_id) WHERE source_type = 'code' ORDER BY n LIMIT 20 OFFSET 40")
+def search_page(spark, d):
+    """The third page of a filter over the index; a first run numbers documents by their paths."""
+    return stored.Indexed(spark, d).engine.search("source:code", limit=20, offset=40).select("file_path", "total_matching")
+
+
+@INDEX.add("inspect_path", f"""
+WITH {_NOTES_SQL} SELECT file_path, source_type, lower(sha256(text)) AS content_hash, CASE WHEN strlen(text) <= 1023 THEN 'size:small' WHEN strlen(text) <= 10240 THEN 'size:medium' ELSE 'size:large' END AS size_key FROM notes WHERE file_path = (SELECT min(file_path) FROM notes)""")
+def inspect_path(spark, d):
+    e = stored.Indexed(spark, d).engine
+    first = e.tables.documents.agg(F.min("file_path")).first()[0]
+    return e.inspect(first).select("file_path", "source_type", "content_hash", F.filter("keys", lambda k: k.startswith("size:"))[0].alias("size_key"))
+
+
+@INDEX.add("index_links", f"""
+WITH {_NOTES_SQL}, l AS (SELECT DISTINCT doc_id, trim(split_part(x, '|', 1)) AS t FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\[\\[([^\\]]+)\\]\\]', 1)) AS x FROM notes WHERE source_type = 'obsidian') WHERE trim(split_part(x, '|', 1)) <> ''),
+stems AS (SELECT regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS stem, min(file_path) AS p FROM notes GROUP BY ALL)
+SELECT DISTINCT n.file_path AS from_path, coalesce(f.file_path, s.p) AS to_path FROM l JOIN notes n USING (doc_id) LEFT JOIN notes f ON f.file_path = l.t LEFT JOIN stems s ON s.stem = l.t WHERE coalesce(f.file_path, s.p) IS NOT NULL""")
+def index_links(spark, d):
+    """The links between notes that the index resolved."""
+    t = stored.Indexed(spark, d).engine.tables.pinned()
+    path = lambda end: t.documents.select(F.col("doc_id").alias(f"{end}_id"), F.col("file_path").alias(f"{end}_path"))
+    return t.edges.where("kind = 'ref:wikilink'").join(path("from"), "from_id").join(path("to"), "to_id").select("from_path", "to_path").distinct()
+
+
+@INDEX.add("semantic_index")
+def semantic_index(spark, d):
+    """The chunks of code nearest to a text, one hop of links allowed, by the built-in embedder."""
+    return stored.Indexed(spark, d).engine.semantic("retry the request after a timeout", "source:code", k=20, hops=1)

@@ -92,5 +92,12 @@ class Files:
             return False
         return True
 
+    def modified(self, name: str) -> int:
+        """When a file or folder, or the newest file in it, was last changed; 0 if it isn't there."""
+        if not self.exists(name):
+            return 0
+        path = self._path(name)
+        return max([self._fs.getFileStatus(path).getModificationTime(), *(x.getModificationTime() for x in self._fs.listStatus(path))])
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -185,7 +185,7 @@ def test_named_threads_hidden_and_found_again(spark):
     other = F.pmod(F.xxhash64("channel_id"), F.lit(2)) == 1
     score = fit_links(with_pace(with_starts(counting.where(~other))))
     truth = {(r.channel_id, r.us): r.thread_us for r in with_starts(counting.where(other)).where("NOT gone").collect()}
-    hidden = with_pace(counting.where(other).withColumn("thread_us", F.lit(None).cast("long")))
+    hidden = with_pace(with_starts(counting.where(other).withColumn("thread_us", F.lit(None).cast("long"))))
     got = trees(links(hidden, score)).where("NOT gone").collect()
     replies = [r for r in got if truth[r.channel_id, r.us] not in (None, r.us)]
     linked = [r for r in got if r.parent_us is not None]

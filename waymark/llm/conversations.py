@@ -13,6 +13,7 @@ of one.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import OrderedDict, defaultdict, deque
@@ -122,13 +123,13 @@ def counting_messages(messages: DataFrame) -> DataFrame:
 
 
 def with_starts(counting: DataFrame) -> DataFrame:
-    """``counting`` with messages that some row of their channel names as its thread, and that name none, naming themselves.
+    """``counting`` with named, whether some row of the channel names a message as its thread; such messages that name none name themselves.
 
     So the start of a thread is never judged, and stays in one tree with its replies.
     """
     named = counting.where("thread_us IS NOT NULL").select(F.col("channel_id").alias("_nc"), F.col("thread_us").alias("_nt")).distinct()
     out = counting.join(named, (F.col("channel_id") == F.col("_nc")) & (F.col("us") == F.col("_nt")), "left")
-    return out.withColumn("thread_us", F.coalesce("thread_us", "_nt")).drop("_nc", "_nt")
+    return out.withColumn("named", F.col("_nt").isNotNull()).withColumn("thread_us", F.coalesce("thread_us", "_nt")).drop("_nc", "_nt")
 
 
 def with_pace(counting: DataFrame) -> DataFrame:
@@ -142,113 +143,129 @@ def _shared(a: frozenset, b: frozenset) -> float:
     return len(a & b) / (1 + min(len(a), len(b))) if a and b else 0.0
 
 
+class _Message:
+    __slots__ = ("us", "speaker", "text", "root", "far", "_words")
+
+    def __init__(self, us: int, speaker: str | None, text: str | None, root: int, far: bool):
+        self.us, self.speaker, self.text, self.root, self.far, self._words = us, speaker, text, root, far, None
+
+    @property
+    def words(self) -> frozenset:
+        if self._words is None:
+            self._words = frozenset(_WORD.findall(self.text.lower())) if self.text else frozenset()
+        return self._words
+
+
 class _Recent:
-    """The messages (us, speaker, words, root) that later ones may answer, indexed by speaker and word."""
+    """The messages that later ones may answer, in order and by speaker; where shared words weigh more than INDEXED, by word too."""
+
+    INDEXED = 1.0
 
     def __init__(self, score: LinkScore):
-        self.score = score
+        self.score, self.indexed = score, score.overlap > self.INDEXED
         self.clear(86_400.0)
 
     def clear(self, pace: float) -> None:
         """Begin a channel, or a bucket of one, of this pace."""
         self.pace, self.reach = pace, self.score.reach(pace)
         self.held: deque = deque()
-        self.last: OrderedDict = OrderedDict()  # speakers by their latest message
+        self.by: defaultdict = defaultdict(deque)
         self.having: defaultdict = defaultdict(deque)
 
-    def add(self, message: tuple) -> None:
-        self.held.append(message)
-        self.last[message[1]] = message
-        self.last.move_to_end(message[1])
-        for w in message[2]:
-            self.having[w].append(message)
+    def add(self, m: _Message) -> None:
+        self.held.append(m)
+        self.by[m.speaker].append(m)
+        if self.indexed:
+            for w in m.words:
+                self.having[w].append(m)
 
     def forget(self, us: int) -> None:
         """Drop what is out of the reach of a message at ``us``."""
-        while self.reach is not None and self.held and self.held[0][0] < us - self.reach:
+        while self.reach is not None and self.held and self.held[0].us < us - self.reach:
             old = self.held.popleft()
-            if self.last[old[1]] is old:
-                del self.last[old[1]]
-            for w in old[2]:
-                self.having[w].popleft()
-                if not self.having[w]:
-                    del self.having[w]
-
-    def likeliest(self, us: int, speaker: str | None, words: frozenset, named: set) -> tuple[float, tuple] | None:
+            self.by[old.speaker].popleft()
+            if not self.by[old.speaker]:
+                del self.by[old.speaker]
+            if self.indexed:
+                for w in old.words:
+                    self.having[w].popleft()
+                    if not self.having[w]:
+                        del self.having[w]
+
+    def likeliest(self, new: _Message) -> tuple[float, _Message] | None:
         """The best odds of all messages held and the latest message that has them, None if there is no message.
 
-        Of messages that share no word the latest of each speaker will do, and of speakers
-        that are neither named nor the same the latest one. Those that share words are
+        Messages of the same speaker, of those it names and of the others are walked back
+        apart, each until time alone has taken what words could bring. Where words have an
+        index, a walk takes only the latest of its kind, and those that share words are
         walked back word by word, the rarest first; a message without the words before
         shares at most the ``left`` others, so once that can't beat the best at its time
         no older one can.
         """
-        score, short = self.score, len(words) < 3
+        score, us, speaker = self.score, new.us, new.speaker
+        named = set(_MENTION.findall(new.text)) if new.text and "<@" in new.text else set()
+        short = len(new.words) < 3
         best, found, judged = -math.inf, None, set()
+        gain = max(score.overlap, 0.0) * len(new.words) / (1 + len(new.words))
 
-        def judge(m: tuple) -> None:
+        def judge(m: _Message) -> None:
             nonlocal best, found
-            if m[0] in judged:
-                return
-            judged.add(m[0])
-            s = score.of((us - m[0]) / 1e6, self.pace, m[1] is not None and m[1] in named, _shared(words, m[2]), m[1] is not None and m[1] == speaker, short)
-            if s > best or (s == best and m[0] > found[0]):
+            shared = _shared(new.words, m.words) if score.overlap else 0.0
+            s = score.of((us - m.us) / 1e6, self.pace, m.speaker is not None and m.speaker in named, shared, m.speaker is not None and m.speaker == speaker, short)
+            if s > best or (s == best and m.us > found.us):
                 best, found = s, m
 
-        def walk(messages: deque, most: float) -> None:
-            for m in reversed(messages):
-                if most + score.time((us - m[0]) / 1e6, self.pace) + 1e-9 < best:
+        def walk(messages: Iterator[_Message], most: float) -> None:
+            for m in messages:
+                if most + score.time((us - m.us) / 1e6, self.pace) + 1e-9 < best:
                     break
-                judge(m)
-
-        most = score.base + max(score.mention, 0.0) * bool(named) + max(score.same_speaker, 0.0) * (speaker is not None) + score.short * short
-        if score.overlap < 0:
-            walk(self.held, most)
-            return None if found is None else (best, found)
-        for who in {*named, speaker}:
-            if who in self.last:
-                judge(self.last[who])
-        for who in reversed(self.last):
-            if who not in named and who != speaker:
-                judge(self.last[who])
-                break
-        mine = sorted((w for w in words if w in self.having), key=lambda w: (len(self.having[w]), w))
-        for i, w in enumerate(mine):
-            left = len(mine) - i
-            walk(self.having[w], most + score.overlap * left / (1 + left))
+                if m.us not in judged:
+                    judged.add(m.us)
+                    judge(m)
+
+        plain = score.base + score.short * short
+        own = {*named, speaker} - {None}
+        kinds = [(reversed(self.by[who]), plain + score.mention * (who in named) + score.same_speaker * (who == speaker)) for who in own if who in self.by]
+        kinds.append(((m for m in reversed(self.held) if m.speaker not in own), plain))
+        for messages, most in kinds:
+            walk(itertools.islice(messages, 1) if self.indexed else messages, most + gain)
+        if self.indexed:
+            most = plain + max(score.mention, 0.0) * bool(named) + max(score.same_speaker, 0.0) * (speaker is not None)
+            mine = sorted((w for w in new.words if w in self.having), key=lambda w: (len(self.having[w]), w))
+            for i, w in enumerate(mine):
+                left = len(mine) - i
+                walk(reversed(self.having[w]), most + score.overlap * left / (1 + left))
         return None if found is None else (best, found)
 
 
 def _link_stream(score: LinkScore, keep_text: bool):
     """Judge the messages of sorted buckets one after another, holding those within reach only."""
     s, i, x = pa.string(), pa.int64(), pa.bool_()
-    types = {"channel_id": s, "us": i, "parent_us": i, "root_us": i, "link": s, "odds": pa.float64(), "speaker": s, "shown": x, "reply_count": pa.int32(), "gone": x} | ({"text": s} if keep_text else {})
+    types = {"channel_id": s, "us": i, "parent_us": i, "root_us": i, "far": x, "link": s, "odds": pa.float64(), "speaker": s, "shown": x, "reply_count": pa.int32(), "gone": x, "named": x} | ({"text": s} if keep_text else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, recent = None, _Recent(score)
         for b in batches:
             out = []
-            for channel, bucket, us, thread_us, speaker, text, judged, context, shown, replies, gone, pace in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for channel, bucket, us, thread_us, speaker, text, judged, context, shown, replies, gone, named, pace in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 threaded = thread_us is not None
                 if held != (channel, bucket):
                     held = (channel, bucket)
                     recent.clear(pace)
                 recent.forget(us)
-                words = frozenset(_WORD.findall(text.lower())) if text else frozenset()
-                root, parent, odds = us, None, None
+                parent, odds = None, None
+                new = _Message(us, speaker, text, us, context)  # where a message of the bucket before belongs isn't known here
                 if threaded:
-                    root, parent = thread_us, None if thread_us == us else thread_us
-                elif judged and not context:
-                    named = set(_MENTION.findall(text)) if text and "<@" in text else set()
-                    if (likeliest := recent.likeliest(us, speaker, words, named)) is not None:
-                        odds, m = likeliest
-                        if odds >= 0:
-                            parent, root = m[0], m[3]
+                    new.root, new.far, parent = thread_us, False, None if thread_us == us else thread_us
+                elif judged and not context and (likeliest := recent.likeliest(new)) is not None:
+                    odds, m = likeliest
+                    if odds >= 0:
+                        parent, new.root, new.far = m.us, m.root, m.far
                 if judged or threaded:
-                    recent.add((us, speaker, words, root))
+                    recent.add(new)
                 if not context:
                     link = "thread" if threaded else "judged" if parent is not None else "start"
-                    out.append((channel, us, parent, root, link, odds, speaker, shown, replies, gone) + ((text,) if keep_text else ()))
+                    out.append((channel, us, parent, new.root, new.far, link, odds, speaker, shown, replies, gone, named) + ((text,) if keep_text else ()))
             columns = list(zip(*out, strict=True)) if out else [()] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
@@ -266,8 +283,9 @@ def _reaches(score: LinkScore):
 def links(starts: DataFrame, score: LinkScore = LinkScore(), keep_text: bool = False) -> DataFrame:  # noqa: B008
     """Every counting message (``with_starts``, ``with_pace``) with its parent and the root that its bucket knows of.
 
-    channel_id, us, parent_us, root_us, link ("thread", "judged" or "start"), odds and what
-    an audit needs: speaker, shown (whether its text says anything), reply_count, gone.
+    channel_id, us, parent_us, root_us, far (whether the root is of the bucket before and may
+    itself belong elsewhere), link ("thread", "judged" or "start"), odds and what an audit needs:
+    speaker, shown (whether its text says anything), reply_count, gone, named.
     Deleted and system messages neither answer nor are answered, save in the thread they name.
     A message that others name as their thread starts it, whether or not it says so itself.
     A bucket is several times as wide as the reach of its channel; without a bound a channel is one bucket.
@@ -282,12 +300,12 @@ def links(starts: DataFrame, score: LinkScore = LinkScore(), keep_text: bool = F
     shown = ~F.coalesce("text", F.lit("")).rlike(BLANK)
     again = F.col("reach").isNotNull() & (F.pmod(F.col("us"), wide) >= wide - F.col("reach"))  # in reach of the next bucket
     m = m.select(
-        "channel_id", bucket.cast("long").alias("bucket"), "us", "thread_us", "speaker", "text", judged.alias("judged"), shown.alias("shown"), F.col("reply_count").cast("int").alias("reply_count"), "gone", "pace",
+        "channel_id", bucket.cast("long").alias("bucket"), "us", "thread_us", "speaker", "text", judged.alias("judged"), shown.alias("shown"), F.col("reply_count").cast("int").alias("reply_count"), "gone", "named", "pace",
         F.explode(F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy"),
     )
-    m = m.select("channel_id", (F.col("bucket") + F.col("_copy")).alias("bucket"), "us", "thread_us", "speaker", "text", "judged", (F.col("_copy") == 1).alias("context"), "shown", "reply_count", "gone", "pace")
+    m = m.select("channel_id", (F.col("bucket") + F.col("_copy")).alias("bucket"), "us", "thread_us", "speaker", "text", "judged", (F.col("_copy") == 1).alias("context"), "shown", "reply_count", "gone", "named", "pace")
     ordered = m.repartition("channel_id", "bucket").sortWithinPartitions("channel_id", "bucket", "us")
-    schema = "channel_id string, us long, parent_us long, root_us long, link string, odds double, speaker string, shown boolean, reply_count int, gone boolean" + ", text string" * keep_text
+    schema = "channel_id string, us long, parent_us long, root_us long, far boolean, link string, odds double, speaker string, shown boolean, reply_count int, gone boolean, named boolean" + ", text string" * keep_text
     return ordered.mapInArrow(_link_stream(score, keep_text), schema)
 
 
@@ -353,24 +371,26 @@ def fit_links(starts: DataFrame, score: LinkScore = LinkScore()) -> LinkScore:
 def trees(linked: DataFrame) -> DataFrame:
     """``linked`` with root_us the root of the whole tree.
 
-    Within a bucket the roots are known; a root that is itself linked to an earlier bucket
-    is followed by doubling, so the number of rounds is the logarithm of the longest chain
-    of buckets. A thread's start that no row has remains the root.
+    Within a bucket the roots are known. A root of the bucket before (far) is followed by
+    doubling, so the number of rounds is the logarithm of the longest chain of buckets;
+    only such roots are looked up, and no other row moves. A thread's start that no row
+    has remains the root.
     """
     linked = cut(linked)
-    hops = linked.where("link <> 'thread' AND root_us <> us").select("channel_id", F.col("us").alias("_at"), F.col("root_us").alias("_to"))
+    far = linked.where("far")
+    sought = far.select(F.col("channel_id").alias("_sc"), F.col("root_us").alias("_su")).distinct()
+    at = linked.select("channel_id", F.col("us").alias("_at"), F.col("root_us").alias("_to"))
+    hops = cut(at.join(sought, (F.col("channel_id") == F.col("_sc")) & (F.col("_at") == F.col("_su")), "left_semi"))
     while True:
         onward = hops.select(F.col("channel_id").alias("_c"), F.col("_at").alias("_a"), F.col("_to").alias("_b"))
-        step = hops.join(onward, (hops.channel_id == onward._c) & (hops._to == onward._a), "left")
+        step = hops.join(onward, (hops.channel_id == onward._c) & (hops._to == onward._a) & (onward._a != onward._b), "left")
         step = cut(step.select("channel_id", "_at", F.coalesce("_b", "_to").alias("_to"), F.col("_b").isNotNull().alias("_moved")))
         hops = step.drop("_moved")
         if step.where("_moved").isEmpty():
             break
-    threads = linked.where("link = 'thread' AND root_us <> us").select("channel_id", F.col("us").alias("_at"), F.col("root_us").alias("_to"))
-    last = hops.join(threads.select(F.col("channel_id").alias("_c"), F.col("_at").alias("_a"), F.col("_to").alias("_b")), (F.col("channel_id") == F.col("_c")) & (F.col("_to") == F.col("_a")), "left")
-    last = last.select(F.col("channel_id").alias("_channel"), "_at", F.coalesce("_b", "_to").alias("_top"))
-    out = linked.join(last, (linked.channel_id == last._channel) & (linked.us == last._at), "left")
-    return out.withColumn("root_us", F.coalesce("_top", "root_us")).drop("_channel", "_at", "_top")
+    top = hops.select(F.col("channel_id").alias("_c"), "_at", F.col("_to").alias("_top"))
+    moved = far.join(top, (far.channel_id == top._c) & (far.root_us == top._at), "left").withColumn("root_us", F.coalesce("_top", "root_us"))
+    return linked.where("NOT far").unionByName(moved.select(*linked.columns)).drop("far")
 
 
 def audit(linked: DataFrame) -> DataFrame:
@@ -382,7 +402,7 @@ def audit(linked: DataFrame) -> DataFrame:
     so no thread's rows or speakers are ever gathered.
     """
     names = F.when(F.col("link") == "thread", F.col("root_us"))
-    keys = F.array_compact(F.array_distinct(F.array(names, F.col("us"))))
+    keys = F.array_compact(F.array_distinct(F.array(names, F.when(F.col("named"), F.col("us")))))
     rows = linked.select("channel_id", "us", "speaker", "shown", "reply_count", "gone", names.alias("_named"), F.explode(keys).alias("root_us"))
     there, at_start = ~F.col("gone"), F.col("us") == F.col("root_us")
     g = rows.groupBy("channel_id", "root_us").agg(

@@ -231,3 +231,17 @@ def test_process(spark, tmp_path):
     assert moved.doc_id == a and {"folder:/v/out", "convention:test", "tag:one"} <= set(moved["keys"]) and "folder:/v/in" not in moved["keys"] and e.status().first().total_documents == 1
     again = e.process(spark.createDataFrame([(7, "/v/b.md", "Created", None, b"# B\n"), (8, "/v/out/test_a.md", "Modified", None, b"# A\n#one\n")], event), 3)
     assert {r.path: r.action for r in again.collect()} == {"/v/b.md": "updated", "/v/out/test_a.md": "skipped"} and e.status().first().total_documents == 2
+
+
+@pytest.mark.parametrize("n", [400, 6_000])
+def test_cell_index_recall(spark, n):
+    rng = np.random.RandomState(n)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=16) * 0.7]) for i in range(n)]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    index, q = vectors.CellIndex(v), v.where("id % 10 = 0")
+    assert len(index.centres) == max(vectors.CELLS, int(n**0.5)) and index.probes < len(index.centres)
+    for some in (None, v.where("id % 3 = 1")):
+        exact = {(r.query_id, r.id) for r in vectors.nearest_for_all(v, q, 5, candidates=some).collect()}
+        found = [(r.query_id, r.id) for r in index.search(q, 5, candidates=some).collect()]
+        assert len(found) == len(set(found)) and len(set(found) & exact) >= 0.9 * len(exact) and (some is None or all(i % 3 == 1 for _, i in found))

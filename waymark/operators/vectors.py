@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.incremental import newest_per_key
 
-#: Queries in a block, sample rows and cells of the approximate index, the recall its probes are chosen for.
+#: Queries in a block, sample rows and least cells of the approximate index, the recall its probes are chosen for.
 BLOCK, SAMPLE, CELLS, RECALL = 2_048, 20_000, 64, 0.97
 
 
@@ -49,18 +49,48 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np
         yield q, live[np.lexsort((ids[live], -row[live]))[:k]]
 
 
-def _score_block(qids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool):
+class _Held:
+    """The best k of every query of a block among the vectors that a task has seen so far."""
+
+    def __init__(self, qids: np.ndarray, k: int):
+        self.qids, self.k = qids, k
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(qids)
+
+    def add(self, which: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row for each query in ``which``, a column for each id; nan is no candidate."""
+        for row, best in _best(scores, ids, self.k):
+            i, s = self.best[which[row]]
+            i, s = np.concatenate([i, ids[best]]), np.concatenate([s, scores[row, best]])
+            top = np.lexsort((i, -s))[: self.k]
+            self.best[which[row]] = (i[top], s[top])
+
+    def rows(self) -> pd.DataFrame:
+        n = [len(i) for i, _ in self.best]
+        return pd.DataFrame({"query_id": np.repeat(self.qids, n).astype("int64"), "id": np.concatenate([i for i, _ in self.best]).astype("int64"), "score": np.concatenate([s for _, s in self.best]).astype("float64")})
+
+
+def _scores(queries: np.ndarray, m: np.ndarray) -> np.ndarray:
+    w = max(m.shape[1], queries.shape[1])
+    return np.pad(queries, ((0, 0), (0, w - queries.shape[1]))) @ np.pad(m, ((0, 0), (0, w - m.shape[1]))).T
+
+
+def _score_block(qids: np.ndarray, queries: np.ndarray, k: int, skip_self: bool, near: np.ndarray | None = None):
+    """Score batches of vectors against a block of queries; with ``near``, the cells of each query, only against those that look into a vector's cell."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = _Held(qids, k)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            m, ids = _matrix(pdf.embedding.tolist()), pdf.id.to_numpy()
-            w = max(m.shape[1], queries.shape[1])
-            scores = np.pad(queries, ((0, 0), (0, w - queries.shape[1]))) @ np.pad(m, ((0, 0), (0, w - m.shape[1]))).T
-            if skip_self:
-                scores[qids[:, None] == ids[None, :]] = np.nan
-            rows = [(qids[q], ids[j], scores[q, j]) for q, best in _best(scores, ids, k) for j in best]
-            yield pd.DataFrame(rows, columns=["query_id", "id", "score"]).astype({"query_id": "int64", "id": "int64", "score": "float64"})
+            for cell, part in [(None, pdf)] if near is None else pdf.groupby("cell"):
+                which = np.arange(len(qids)) if near is None else np.flatnonzero((near == cell).any(1))
+                if not len(which) or not len(part):
+                    continue
+                ids = part.id.to_numpy()
+                scores = _scores(queries[which], _matrix(part.embedding.tolist()))
+                if skip_self:
+                    scores[qids[which][:, None] == ids[None, :]] = np.nan
+                held.add(which, ids, scores)
+        if len(qids):
+            yield held.rows()
 
     return run
 
@@ -94,11 +124,16 @@ def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield np.array([x[0] for x in block]), _matrix([x[1] for x in block])
 
 
-def nearest_for_all(vectors: DataFrame, queries: DataFrame, k: int = 10, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
-    """query_id, id, score, rank of the k nearest vectors of every query, exactly, in blocks of queries."""
-    out = None
+def nearest_for_all(vectors: DataFrame, queries: DataFrame, k: int = 10, skip_self: bool = True, block: int = BLOCK, candidates: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank of the k nearest vectors of every query, exactly, in blocks of queries.
+
+    ``candidates`` (id) filters before anything is scored.
+    """
+    out, v = None, vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding")
+    if candidates is not None:
+        v = v.join(candidates.select("id").distinct(), "id", "left_semi")
     for qids, q in _blocks(queries, block):
-        scored = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").select("id", "embedding").mapInPandas(_score_block(qids, q, k, skip_self), "query_id long, id long, score double")
+        scored = v.mapInPandas(_score_block(qids, q, k, skip_self), "query_id long, id long, score double")
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
@@ -108,14 +143,17 @@ def nearest_for_all(vectors: DataFrame, queries: DataFrame, k: int = 10, skip_se
 class CellIndex:
     """An inverted-file index: vectors by their nearest centre; a query looks into its nearest cells.
 
-    The centres are fitted by k-means on at most SAMPLE rows; every vector is assigned.
+    There are as many cells as the square root of the vectors, CELLS at least and an eighth
+    of the sample at most, so that a cell grows no faster than their number. The centres are
+    fitted by k-means on at most SAMPLE rows; every vector is assigned.
     How many cells a query looks into is measured on the sample: as few as reach RECALL
     against the exact neighbours there.
     """
 
-    def __init__(self, vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE, seed: int = 0, rounds: int = 12):
+    def __init__(self, vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, seed: int = 0, rounds: int = 12):
         some = vectors.where("id IS NOT NULL AND embedding IS NOT NULL").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("embedding").toPandas()
         m = _matrix(some.embedding.tolist())
+        cells = cells or max(CELLS, min(int(vectors.count() ** 0.5), sample // 8))
         rng = np.random.RandomState(seed)
         self.centres = m[rng.permutation(len(m))[: min(cells, len(m))]]
         for _ in range(rounds):
@@ -124,7 +162,7 @@ class CellIndex:
             np.add.at(sums, own, m)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             self.centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), self.centres)
-        self.probes = self._probes(m)
+        self.sample, self.probes = m, self._probes(m)
         centres = self.centres
 
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,21 +181,22 @@ class CellIndex:
         ranks = np.sort(np.take_along_axis(place, own[near], 1).ravel())
         return int(ranks[min(len(ranks) - 1, int(np.ceil(RECALL * len(ranks))))]) + 1 if len(ranks) else 1
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, skip_self: bool = True) -> DataFrame:
-        """query_id, id, score, rank; only vectors in the query's ``probes`` nearest cells are scored."""
-        out, probes = None, probes or self.probes
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, skip_self: bool = True, candidates: DataFrame | None = None) -> DataFrame:
+        """query_id, id, score, rank; only vectors in the query's ``probes`` nearest cells, and only ``candidates`` (id) if given, are scored.
+
+        Among candidates the nearest lie farther off, so cells are chosen as for as many
+        neighbours more as there are vectors to a candidate.
+        """
+        rows, wider = self.rows, 1.0
+        if candidates is not None:
+            own = candidates.select("id").distinct()
+            rows, wider = rows.join(own, "id", "left_semi"), self.rows.count() / max(1, own.count())
+        if probes is None:
+            probes = self._probes(self.sample, int(np.ceil(max(k, 10) * wider)))
+        out = None
         for qids, q in _blocks(queries, BLOCK):
             near = np.argsort(-(q @ self.centres.T), 1)[:, :probes]
-            score, wanted = _score_block, np.unique(near)
-
-            def run(batches, qids=qids, q=q, near=near):
-                for pdf in batches:
-                    for cell, part in pdf.groupby("cell"):
-                        mine = np.flatnonzero((near == cell).any(1))
-                        if len(mine):
-                            yield from score(qids[mine], q[mine], k, skip_self)(iter([part]))
-
-            found = self.rows.where(F.col("cell").isin([int(c) for c in wanted])).mapInPandas(run, "query_id long, id long, score double")
+            found = rows.where(F.col("cell").isin([int(c) for c in np.unique(near)])).mapInPandas(_score_block(qids, q, k, skip_self, near), "query_id long, id long, score double")
             out = found if out is None else out.unionByName(found)
         return _top(out, k) if out is not None else self.rows.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
 

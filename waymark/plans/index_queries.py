@@ -533,6 +533,15 @@ def cosine_batch(spark, d):
     return vectors.nearest_for_all(v, v.where("id % 100 = 0"), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@INDEX.add("cosine_batch_filtered", f"""SELECT query_id, id, score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COSINE_SQL}, 6) AS score, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COSINE_SQL} DESC, b.vec_id) AS INT) AS rank
+FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND b.label = (SELECT max(label) FROM embeddings)) WHERE rank <= 5""")
+def cosine_batch_filtered(spark, d):
+    """The same query set against the vectors of one label."""
+    v = _vectors(spark, d)
+    top = v.agg(F.max("label")).scalar()
+    return vectors.nearest_for_all(v, v.where("id % 100 = 0"), 5, candidates=v.where(F.col("label") == top)).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @INDEX.add("ann_batch")
 def ann_batch(spark, d):
     """The same query set through the cell index."""

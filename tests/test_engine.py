@@ -245,3 +245,50 @@ def test_cell_index_recall(spark, n):
         exact = {(r.query_id, r.id) for r in vectors.nearest_for_all(v, q, 5, candidates=some).collect()}
         found = [(r.query_id, r.id) for r in index.search(q, 5, candidates=some).collect()]
         assert len(found) == len(set(found)) and len(set(found) & exact) >= 0.9 * len(exact) and (some is None or all(i % 3 == 1 for _, i in found))
+
+
+def test_poll_due(spark, tmp_path):
+    pages, broken = dict(PAGES), []
+
+    def recorded(path):
+        if "NOPE" in path and broken:
+            raise OSError("down")
+        return pages.get(path, {"results": [], "_links": {}, "messages": []})
+
+    sources = spark.createDataFrame([("wiki", "confluence", ["OPS"], 60), ("bad", "confluence", ["NOPE"], 60)], "name string, kind string, scopes array<string>, poll_interval_secs long")
+    got, state = [], str(tmp_path / "polls")
+    broken.append(1)
+    run = lambda now: {r.name: (r["items"], r.last_poll) for r in remote.poll_due(spark, recorded, sources, state, now, got.append).collect()}
+    assert run(100) == {"wiki": (2, 100), "bad": (0, 0)} and len(got) == 1
+    assert run(130) == {"bad": (0, 0)}  # wiki isn't due, the failed one is
+    broken.clear()
+    assert run(150) == {"bad": (0, 150)} and run(155).keys() == set() and run(165).keys() == {"wiki"}
+
+
+def test_look_and_watch(spark, tmp_path):
+    import time
+
+    from waymark.streaming.feeds import look, watch
+
+    vault, state, seen = tmp_path / "vault", str(tmp_path / "state"), []
+    vault.mkdir()
+    (vault / ".gitignore").write_text("skip*\n")
+    for n in ("a", "b", "skip"):
+        (vault / f"{n}.md").write_text(n)
+    handle = lambda events: seen.append(sorted((r.path.rsplit("/", 1)[1], r.kind) for r in events.collect()))
+    assert look(spark, str(vault), state, handle) == 2 and look(spark, str(vault), state, handle) == 0 and seen == [[("a.md", "created"), ("b.md", "created")]]
+    (vault / "a.md").write_text("other")
+    (vault / "b.md").unlink()
+
+    def fails(events):
+        raise OSError("handler")
+
+    with pytest.raises(OSError):
+        look(spark, str(vault), state, fails)
+    q = watch(spark, str(vault), state, str(tmp_path / "clock"), handle, 1)
+    for _ in range(60):
+        if len(seen) > 1:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert seen[1] == [("a.md", "modified"), ("b.md", "deleted")]  # what the failed handler was shown comes again

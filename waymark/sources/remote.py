@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from waymark.operators.ingest import content_hash
+from waymark.operators.manifest import ManifestTable
 from waymark.runtime import cut
 from waymark.sources.files import parser_of
 
@@ -142,6 +143,30 @@ def poll_once(spark: SparkSession, fetch: Fetch, kind: str, name: str, scopes: l
     return n, now
 
 
+def poll_due(spark: SparkSession, fetch: Fetch, sources: DataFrame, state: str, now: int, ingest: Callable[[DataFrame], None]) -> DataFrame:
+    """Poll every source (name, kind, scopes, poll_interval_secs) that is due at ``now``; gives name, items, last_poll.
+
+    The time that each source was last polled with success is kept under ``state`` as
+    rows of a manifest version, published after its items are ingested: a poll that fails
+    or breaks off comes again from where the last good one began. Call it in a loop, or
+    from a streaming clock, at any interval shorter than the sources'. There is a row a
+    configured source, so they are walked through on the driver.
+    """
+    kept, done = ManifestTable(spark, state), []
+    for s in sources.orderBy("name").collect():
+        base = kept.version()
+        held = kept.read("polls", base)
+        row = None if held is None else held.where(F.col("name") == s.name).agg(F.max("last_poll")).first()
+        since = row[0] if row and row[0] is not None else 0
+        if since and now - since < s.poll_interval_secs:
+            continue
+        n, at = poll_once(spark, fetch, s.kind, s.name, list(s.scopes), since, now, ingest)
+        if at != since:
+            kept.commit({"polls": [kept.stage("polls", spark.createDataFrame([(s.name, at)], "name string, last_poll long"))]}, base)
+        done.append((s.name, n, at))
+    return spark.createDataFrame(done, "name string, items long, last_poll long")
+
+
 def item_files(items: DataFrame) -> DataFrame:
     """Live items as a file table (file_path, content, content_hash, parser) for ``Engine.sync``."""
     live = items.where("NOT coalesce(deleted, false) AND content IS NOT NULL").select(F.col("synthetic_path").alias("file_path"), F.col("content").cast("binary").alias("content"))

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from waymark.functions.text import strict_base64
 from waymark.operators.changefeed import EqualityDeleteTable
 from waymark.operators.manifest import ManifestTable
+from waymark.runtime import cut
+from waymark.sources.files import walk
 
 
 def apply_changes(feed: DataFrame, root: str, checkpoint: str, keys: Sequence[str], sequence: Sequence[Column], deleted: Column, trigger: dict | None = None) -> StreamingQuery:
@@ -41,24 +43,32 @@ def snapshot_events(before: DataFrame, now: DataFrame) -> DataFrame:
     return j.select(F.coalesce("_b", "_a").alias("path"), kind.alias("kind"), F.col("_bh").alias("content_hash")).where("kind IS NOT NULL")
 
 
-def watch(paths: DataFrame, root: str, checkpoint: str, handle: Callable[[DataFrame], None], seconds: int = 5) -> StreamingQuery:
-    """Hand every trigger's changes to ``handle``; ``paths`` is a stream of listings (file_path, content_hash).
+def look(spark: SparkSession, root: str, state: str, handle: Callable[[DataFrame], None], ignore_lines: Sequence[str] = ()) -> int:
+    """List the files below ``root`` once and hand what changed since the listing handled last (path, kind, content_hash) to ``handle``; gives how many.
 
-    The listing handled last is kept as a manifest version, so deletions are seen as
-    well, and a handler that fails sees the same changes again.
+    A listing is always whole, so deletions are seen as well. It is kept as a manifest
+    version under ``state`` after the handler is done: one that fails sees the same changes
+    again. A file that can't be read keeps the hash it had.
     """
-
-    def step(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        seen = ManifestTable(batch.sparkSession, root)
-        base = seen.version()
-        old = seen.read("listing")
-        before = old if old is not None else batch.limit(0)
-        handle(snapshot_events(before, batch))
-        seen.commit({"listing": [seen.stage("listing", batch.select("file_path", "content_hash").distinct())]}, base, replace=True)
-
-    return paths.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+    found, listing = walk(spark, root, ignore_lines)
+    now = cut(listing.join(found.select("file_path", "content_hash"), "file_path", "left"))
+    seen = ManifestTable(spark, state)
+    base = seen.version()
+    old = seen.read("listing", base)
+    before = now.limit(0) if old is None else old
+    kept = now.join(before.select("file_path", F.col("content_hash").alias("_old")), "file_path", "left").select("file_path", F.coalesce("content_hash", "_old").alias("content_hash"))
+    events = cut(snapshot_events(before, kept))
+    n = events.count()
+    if n:
+        handle(events)
+        seen.commit({"listing": [seen.stage("listing", kept.distinct())]}, base, replace=True)
+    return n
+
+
+def watch(spark: SparkSession, root: str, state: str, checkpoint: str, handle: Callable[[DataFrame], None], seconds: float = 5, ignore_lines: Sequence[str] = ()) -> StreamingQuery:
+    """``look`` every ``seconds``, as a streaming query that can be stopped and restarted; its clock carries no data."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda batch, _: look(batch.sparkSession, root, state, handle, ignore_lines) and None).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def event_counts(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:

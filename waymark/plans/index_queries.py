@@ -160,7 +160,7 @@ def size_tagger(spark, d):
 
 @INDEX.add("topic_tagger", f"SELECT doc_id, tag FROM (SELECT doc_id, unnest([{_TOPIC_SQL}]) AS tag FROM (SELECT doc_id, lower(text) AS t FROM documents)) WHERE tag IS NOT NULL")
 def topic_tagger(spark, d):
-    return _documents(spark, d).select("doc_id", F.explode_outer(keys.topic_tags(F.col("text"))).alias("tag")).where("tag IS NOT NULL")
+    return spread(_documents(spark, d)).select("doc_id", F.explode_outer(keys.topic_tags(F.col("text"))).alias("tag")).where("tag IS NOT NULL")
 
 
 @INDEX.add("convention_tagger", f"SELECT doc_id, tag FROM (SELECT doc_id, unnest([{_CONVENTION_SQL}]) AS tag FROM documents) WHERE tag IS NOT NULL")

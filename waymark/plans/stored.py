@@ -20,7 +20,8 @@ from waymark.runtime import Files, shared_folder, spread, table
 PARSER_OF = {"obsidian": "markdown", "code": "code"}
 
 
-def _home(spark: SparkSession, d: str, what: str, *tables: str) -> str:
+def home(spark: SparkSession, d: str, what: str, *tables: str) -> str:
+    """Where ``what`` made of these tables, as they are now, stands in this session."""
     files = Files(spark, d)
     state = "|".join(f"{d}/{t}:{files.modified(f'{d}/{t}.parquet')}" for t in tables)
     return f"{shared_folder(spark)}/waymark-{spark.sparkContext.applicationId}/{what}-{hashlib.sha256(state.encode()).hexdigest()[:16]}"
@@ -28,12 +29,12 @@ def _home(spark: SparkSession, d: str, what: str, *tables: str) -> str:
 
 def doc_keys(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, bitmap_key of the documents, stored by key: a filter reads the row groups of its keys only, and no texts."""
-    home = _home(spark, d, "keys", "documents")
-    if not Files(spark, home).exists(f"{home}/_SUCCESS"):
+    at = home(spark, d, "keys", "documents")
+    if not Files(spark, at).exists(f"{at}/_SUCCESS"):
         docs = spread(table(spark, d, "documents").select("doc_id", "file_path", "source_type", "auto_type", "lang", "text"))
         # by key and document, so a key of a third of all documents is spread over files
-        document_keys(docs).repartitionByRange("bitmap_key", "doc_id").sortWithinPartitions("bitmap_key", "doc_id").write.mode("overwrite").parquet(home)
-    return spark.read.schema("doc_id long, bitmap_key string").parquet(home)
+        document_keys(docs).repartitionByRange("bitmap_key", "doc_id").sortWithinPartitions("bitmap_key", "doc_id").write.mode("overwrite").parquet(at)
+    return spark.read.schema("doc_id long, bitmap_key string").parquet(at)
 
 
 def note_files(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +49,7 @@ class Indexed:
     """An index of the notes and code of ``d`` after a first run and, without the documents that tombstones name, a second."""
 
     def __init__(self, spark: SparkSession, d: str):
-        self.home = _home(spark, d, "index", "documents", "tombstones")
+        self.home = home(spark, d, "index", "documents", "tombstones")
         self.engine = Engine(spark, f"{self.home}/tables")
         self.counts = {}
         files = Files(spark, self.home)

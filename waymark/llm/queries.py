@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.llm import conversations, markup, mixing, pii, splitting, subjects, tokenize
+from waymark.plans import stored
 from waymark.plans.registry import Registry
 from waymark.runtime import spread, table
 
@@ -112,8 +113,15 @@ def p4_pages(spark, d):
     return markup.clean_pages(table(spark, d, "documents"))
 
 
+#: Fields trained in this process, by the session and the state of the table they were trained on.
+_FIELDS: dict[str, pii.Field] = {}
+
+
 def _masked(spark, d):
-    return pii.find_and_mask(_messages(spark, d), ["msg_id"])
+    messages, key = _messages(spark, d), stored.home(spark, d, "field", "slack_messages")
+    if key not in _FIELDS:
+        _FIELDS[key] = pii.train(table(spark, d, "slack_messages"))
+    return pii.find_and_mask(messages, ["msg_id"], field=_FIELDS[key])
 
 
 @LLM.add("p6_found")

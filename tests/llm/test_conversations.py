@@ -200,3 +200,46 @@ def test_found_comes_from_the_trained_trees(spark, monkeypatch):
     monkeypatch.setattr(c, "fit_links", lambda starts: used.append(fit(starts)) or used[-1])
     m = frame(spark, {"ts": "100", "user_id": "A", "thread_ts": "100", "reply_count": 2}, {"ts": "110", "user_id": "B", "thread_ts": "100"}, {"ts": "130", "user_id": "B"})
     assert [r.thread_ts for r in c.broken_threads(m).collect()] == ["100.000000"] and len(used) == 1
+
+
+def full(spark, stretches=1):
+    """Forty threads at a time in one channel, so that a thread's last message is far behind those of others."""
+    rng, rows, at, live = random.Random(3), [], 0, []
+    for _ in range(stretches):
+        for _ in range(1_200):
+            at += rng.randint(20, 60)
+            if len(live) < 40:
+                live.append((at, 1))
+                k = len(live) - 1
+            else:
+                k = rng.randrange(40)
+                live[k] = (live[k][0], live[k][1] + 1)
+            rows.append({"ts": f"{at}", "user_id": f"U{rng.randrange(50)}", "text": "we should see", "thread_ts": f"{live[k][0]}"})
+            if live[k][1] == 6:
+                live.pop(k)
+        at += 1_209_600
+    return prepared(frame(spark, *rows))
+
+
+def test_full_channels_keep_a_reach(spark):
+    s = fit_links(full(spark))
+    assert s.per_time + s.per_pace < 0 and s.reach(40.0) is not None
+
+
+def test_trained_where_one_stretch_holds_more_than_is_trained_on(spark, monkeypatch):
+    from waymark.llm import conversations as c
+
+    starts = full(spark, 3)
+    monkeypatch.setattr(c, "TRAIN_MESSAGES", 1)
+    assert c.fit_links(starts.where("us < 0")) == LinkScore()
+    monkeypatch.setattr(c, "TRAIN_MESSAGES", 100)
+    assert c.fit_links(starts) != LinkScore()
+
+
+def test_many_channels_are_joined_without_a_broadcast(spark, monkeypatch):
+    from waymark.llm import conversations as c
+
+    m = frame(spark, *({"ts": f"{100 + 40 * i}", "channel_id": f"C{i % 3}", "user_id": f"U{i % 2}", "text": "the parser fails"} for i in range(12)))
+    few = sorted(map(tuple, links(prepared(m)).collect()))
+    monkeypatch.setattr(c, "BROADCAST_CHANNELS", 2)
+    assert sorted(map(tuple, links(prepared(m)).collect())) == few and len(few) == 12
